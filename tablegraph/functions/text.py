@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -45,6 +46,14 @@ def clean_for_iri(c: Column, replacements: dict[str, str] | None = None) -> Colu
     return F.nullif(F.regexp_replace(text, r"^_|_$", ""), F.lit(""))
 
 
+def cleans_to_text(c: Column, replacements: dict[str, str] | None = None) -> Column:
+    """Whether :func:`clean_for_iri` leaves anything: one cheap test, fit for a filter."""
+    pairs = IRI_REPLACEMENTS if replacements is None else replacements
+    useful = [k for k, v in pairs.items() if re.search(r"[a-zA-Z0-9-]", v)]
+    pattern = "|".join(["[a-zA-Z0-9-]", *[r"\Q" + k + r"\E" for k in useful]])
+    return F.coalesce(c.cast("string").rlike(pattern), F.lit(False))
+
+
 def strip_angle(c: Column) -> Column:
     return F.regexp_replace(py_strip(c), r"^<+|>+$", "")
 

@@ -24,11 +24,17 @@ _MONTH = (
     r"(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?"
     r"|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 )
-_YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$"
-_YEAR_LAST = r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})$"
-_DAY_OVER_12 = r"^(1[3-9]|2\d|3\d)[-/.]"
-_DAY_NAME = rf"(?i)^(\d{{1,2}})\.?[ -]{_MONTH}\.?,?[ -](\d{{4}})$"
-_NAME_DAY = rf"(?i)^{_MONTH}\.? (\d{{1,2}}),? (\d{{4}})$"
+# Day layouts and the year-month-day form each is rewritten to, tried in this order.
+_LAYOUTS = [
+    (r"^(1[3-9]|2\d|3\d)[-/.](\d{1,2})[-/.](\d{4})$", "$3-$2-$1"),
+    (r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})$", "$3-$1-$2"),
+    (r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", "$1-$2-$3"),
+    (rf"(?i)^(\d{{1,2}})\.?[ -]{_MONTH}\.?,?[ -](\d{{4}})$", "$3-$2-$1"),
+    (rf"(?i)^{_MONTH}\.? (\d{{1,2}}),? (\d{{4}})$", "$3-$1-$2"),
+]
+_MAYBE_DATE = (
+    r"(?i)^(?=.*\d{4})(?:\d{1,4}[-/. ]|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec).{3,56}$"
+)
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
 
@@ -50,11 +56,6 @@ def is_bool_like(c: Column) -> Column:
     return _false_if_null(F.lower(py_strip(c)).isin("true", "false"))
 
 
-def _month_number(c: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for i, m in enumerate(_MONTHS) for x in (m, f"{i + 1:02d}")])
-    return F.try_element_at(table, F.lower(F.substring(c, 1, 3)))
-
-
 def iso_datetime(c: Column) -> Column:
     """ISO text of a date or date-time in one of the supported layouts, else null.
 
@@ -62,43 +63,20 @@ def iso_datetime(c: Column) -> Column:
     exceeds 12), ``3 October 1998``, ``October 3, 1998``; each with an optional time and offset.
     """
     t = py_strip(c)
-    day_text = F.regexp_replace(t, _CLOCK, "")
-    clock, zone = F.regexp_extract(t, _CLOCK, 1), F.regexp_extract(t, _CLOCK, 2)
-
-    def named(pattern: str, day: int, month: int) -> Column:
-        return F.concat_ws(
-            "-",
-            F.regexp_extract(day_text, pattern, 3),
-            _month_number(F.regexp_extract(day_text, pattern, month)),
-            F.regexp_extract(day_text, pattern, day),
-        )
-
-    day = (
-        F.when(day_text.rlike(_YEAR_FIRST), F.regexp_replace(day_text, _YEAR_FIRST, "$1-$2-$3"))
-        .when(
-            day_text.rlike(_YEAR_LAST),
-            F.when(
-                day_text.rlike(_DAY_OVER_12), F.regexp_replace(day_text, _YEAR_LAST, "$3-$2-$1")
-            ).otherwise(F.regexp_replace(day_text, _YEAR_LAST, "$3-$1-$2")),
-        )
-        .when(day_text.rlike(_DAY_NAME), named(_DAY_NAME, 1, 2))
-        .when(day_text.rlike(_NAME_DAY), named(_NAME_DAY, 2, 1))
-    )
-    time = F.when(clock == "", F.lit("00:00")).otherwise(F.replace(clock, F.lit(","), F.lit(".")))
+    # Every step refers to the one before it once, which keeps the expression small.
+    day = F.regexp_replace(t, _CLOCK, "")
+    for pattern, layout in _LAYOUTS:
+        day = F.regexp_replace(day, pattern, layout)
+    for number, name in enumerate(_MONTHS, 1):
+        day = F.regexp_replace(day, rf"(?i)-{name}[a-z]*-", f"-{number}-")
+    clock = F.coalesce(F.nullif(F.regexp_extract(t, _CLOCK, 1), F.lit("")), F.lit("00:00"))
     # Only a calendar-valid value counts; 2023-02-30 or 25:00 stay text.
-    moment = F.concat(day, F.lit(" "), time).try_cast("timestamp_ntz")
-    micros = F.date_format(moment, "SSSSSS")
-    offset = (
-        F.when(zone == "", F.lit(""))
-        .when(zone == "Z", F.lit("+00:00"))
-        .otherwise(F.regexp_replace(zone, r"^(.\d{2}):?(\d{2})$", "$1:$2"))
-    )
-    iso = F.concat(
-        F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss"),
-        F.when(micros == "000000", F.lit("")).otherwise(F.concat(F.lit("."), micros)),
-        offset,
-    )
-    return F.when(t.rlike(r"^(?=.*\d{4}).{8,60}$"), iso)
+    moment = F.concat(day, F.lit(" "), F.replace(clock, F.lit(","), F.lit(".")))
+    text = F.date_format(moment.try_cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    zone = F.regexp_replace(F.regexp_extract(t, _CLOCK, 2), "^Z$", "+00:00")
+    zone = F.regexp_replace(zone, r"^(.\d{2}):?(\d{2})$", "$1:$2")
+    iso = F.concat(F.regexp_replace(text, r"\.000000$", ""), zone)
+    return F.when(t.rlike(_MAYBE_DATE), iso)
 
 
 def _date_guards(t: Column) -> Column:
@@ -161,8 +139,13 @@ def is_object_term(c: Column) -> Column:
     )
 
 
-def guess_datatype(c: Column, column_name: Column, settings: Settings | None = None) -> Column:
-    """XSD datatype of one value; the column name only matters for years."""
+def guess_datatype(
+    c: Column, column_name: Column, settings: Settings | None = None, iso: Column | None = None
+) -> Column:
+    """XSD datatype of one value; the column name only matters for years.
+
+    ``iso`` takes an already computed :func:`iso_datetime` of the value.
+    """
     cfg = settings or Settings()
     t = py_strip(c)
     name = F.lower(F.coalesce(column_name, F.lit("")))
@@ -175,12 +158,12 @@ def guess_datatype(c: Column, column_name: Column, settings: Settings | None = N
         .when(year_column & t.rlike(r"(?U)^\d{4}(\.0+)?$"), V.XSD + "gYear")
         .when(t.rlike(r"(?U)^-?\d+$"), V.XSD + "integer")
         .when(t.rlike(r"(?U)^-?\d+[.,]\d+$"), V.XSD + "decimal")
-        .when(iso_datetime(t).isNotNull(), V.XSD + "dateTime")
+        .when((iso_datetime(t) if iso is None else iso).isNotNull(), V.XSD + "dateTime")
         .otherwise(V.XSD + "string")
     )
 
 
-def literal_text(c: Column, datatype: Column) -> Column:
+def literal_text(c: Column, datatype: Column, iso: Column | None = None) -> Column:
     """Lexical form of a value under its datatype."""
     t = py_strip(c)
     return (
@@ -189,7 +172,7 @@ def literal_text(c: Column, datatype: Column) -> Column:
             F.when(F.lower(t).isin(TRUE_WORDS), "true").otherwise("false"),
         )
         .when(datatype == V.XSD + "gYear", F.regexp_extract(t, r"(?U)^(\d{4})", 1))
-        .when(datatype == V.XSD + "dateTime", iso_datetime(t))
+        .when(datatype == V.XSD + "dateTime", iso_datetime(t) if iso is None else iso)
         .when(datatype == V.XSD + "decimal", F.replace(t, F.lit(","), F.lit(".")))
         .otherwise(t)
     )
@@ -206,6 +189,8 @@ def comparator_parts(c: Column, settings: Settings | None = None) -> Column:
         F.struct(
             F.regexp_extract(c, _COMPARATOR, 1).alias("comparator"),
             number.alias("value"),
-            guess_datatype(number, F.lit(None).cast("string"), settings).alias("datatype"),
+            guess_datatype(
+                number, F.lit(None).cast("string"), settings, F.lit(None).cast("string")
+            ).alias("datatype"),
         ),
     )

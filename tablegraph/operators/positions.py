@@ -39,14 +39,12 @@ def group_positions(
         Window.unboundedPreceding, -1
     )
     runs = runs.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-    on = [F.col("m._part") == F.col("r._part")]
-    on += [F.col(f"m.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in keys]
-    place = F.col("m._line") - F.col("r._first") + F.col("r._before") + 1
-    return (
-        marked.alias("m")
-        .join(runs.alias("r"), on)
-        .select(*[F.col(f"m.`{c}`") for c in names], place.alias(name))
-    )
+    renamed = [F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)]
+    runs = runs.select(F.col("_part").alias("_p"), *renamed, "_first", "_before")
+    on = [F.col("_part") == F.col("_p")]
+    on += [F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    place = F.col("_line") - F.col("_first") + F.col("_before") + 1
+    return marked.join(runs, on).select(*[F.col(f"`{c}`") for c in names], place.alias(name))
 
 
 def global_positions(df: DataFrame, order_by: list[str], name: str = "pos") -> DataFrame:

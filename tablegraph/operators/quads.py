@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 from tablegraph import vocab as V
 from tablegraph.config import GraphSpec, Settings
 from tablegraph.functions import text as T
-from tablegraph.functions.values import comparator_parts, guess_datatype, literal_text
+from tablegraph.functions.values import (
+    comparator_parts,
+    guess_datatype,
+    iso_datetime,
+    literal_text,
+)
 from tablegraph.operators.templates import TemplatePlan, plan_template
 from tablegraph.sources.tables import validate_mapping
 
@@ -142,21 +147,24 @@ def map_objects(
     )
     compared = comparator_parts(value, settings)
     node = F.concat(F.lit("_:b"), F.md5(F.concat_ws("|", "node", "predicate", "column", "value")))
-    datatype = guess_datatype(value, F.col("column"), settings)
+    iso, datatype = F.col("_iso"), F.col("_datatype")
 
     def obj(o: Column, kind: str, dt: Column) -> Column:
         return F.struct(o.alias("o"), F.lit(kind).alias("o_kind"), dt.alias("o_datatype"))
 
     none = F.lit(None).cast("string")
+    # Step by step, so that the costly tests are written once in the plan, not once per use.
     typed = cells.withColumn("direct", direct).withColumn("compared", compared)
+    typed = typed.withColumn("_iso", iso_datetime(value))
+    typed = typed.withColumn("_datatype", guess_datatype(value, F.col("column"), settings, iso))
     typed = typed.withColumn(
         "obj",
         F.when(F.col("as_iri") & ~T.is_iri_like(F.col("direct")), None)
         .when(F.col("direct").isNotNull(), obj(F.col("direct"), "iri", none))
         .when(F.col("compared").isNotNull(), obj(node, "bnode", none))
-        .otherwise(obj(literal_text(value, datatype), "lit", datatype)),
+        .otherwise(obj(literal_text(value, datatype, iso), "lit", datatype)),
     )
-    return typed.drop("_term", "_concept", "_norm", "_mapped", "direct")
+    return typed.drop("_term", "_concept", "_norm", "_mapped", "direct", "_iso", "_datatype")
 
 
 # --- rows to quads ------------------------------------------------------------------------
@@ -171,6 +179,12 @@ def _subject(spec: GraphSpec, settings: Settings) -> Column:
     return T.subject_iri(F.col(f"`{spec.id_column}`"), base, settings.replacements)
 
 
+def _has_subject(spec: GraphSpec, settings: Settings) -> Column:
+    shared = spec.subject_base and spec.subject_column
+    column = spec.subject_column if shared else spec.id_column
+    return T.cleans_to_text(F.col(f"`{column}`"), settings.replacements)
+
+
 def _row_key(df: DataFrame, spec: GraphSpec) -> Column:
     """What tells rows apart for node names; fully equal rows describe the same nodes."""
     if spec.row_key:
@@ -185,7 +199,7 @@ def node_name(row_key: Column, part: str) -> Column:
 
 def rejected_rows(df: DataFrame, spec: GraphSpec, settings: Settings = Settings()) -> DataFrame:
     """``rows, rejected``: rows in all, and rows without a usable subject id."""
-    gone = F.count_if(_subject(spec, settings).isNull())
+    gone = F.count_if(~_has_subject(spec, settings))
     return df.agg(F.count(F.lit(1)).alias("rows"), gone.alias("rejected"))
 
 
@@ -211,11 +225,12 @@ def rows_to_quads(
     template = plan_template(spec, df.columns) if spec.active_template else None
     graph = F.lit(spec.graph)
 
-    base = df.select(
+    # The filter tests the raw id: a filter on the built IRI would be computed twice.
+    base = df.filter(_has_subject(spec, settings)).select(
         _subject(spec, settings).alias("_s"),
         _row_key(df, spec).alias("_key"),
         *[T.safe_value(F.col(f"`{c}`")).alias(c) for c in df.columns],
-    ).filter(F.col("_s").isNotNull())
+    )
 
     s = F.col("_s")
     node_of = {k: node_name(F.col("_key"), "group|" + k) for k in groups}
@@ -298,8 +313,10 @@ def cell_quads(cells: DataFrame, graph: Column, settings: Settings) -> DataFrame
         fact(node, ex + "hasValue", F.col("compared.value"),
              datatype=F.col("compared.datatype"), s_kind="bnode"),
     ]
-    facts = F.when(is_node, F.array(own, *extra)).otherwise(F.array(own))
-    rows = cells.filter(F.col("obj").isNotNull()).select(graph.alias("g"), F.inline(facts))
+    # No filter on obj: it would be pushed below and repeat the whole typing expression.
+    usable = F.col("obj.o_kind").isNotNull()
+    facts = F.when(is_node, F.array(own, *extra)).when(usable, F.array(own))
+    rows = cells.select(graph.alias("g"), F.inline(facts))
     return rows.select(*QUAD_COLUMNS)
 
 

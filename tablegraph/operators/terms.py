@@ -24,10 +24,12 @@ def distinct_terms(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     Values are made distinct before the type tests, so each test runs once per value.
     """
     cells = unpivot_rows(df, [], columns or df.columns)
-    pairs = cells.select(
+    pairs = cells.groupBy(
         py_strip(F.col("value")).alias("term"), F.col("column").alias("source_column")
-    ).distinct()
-    return pairs.filter(is_object_term(F.col("term")))
+    ).agg(F.count(F.lit(1)).alias("_n"))
+    # Tied to the count, so the optimizer cannot move the tests below the grouping.
+    wanted = F.when(F.col("_n") > 0, is_object_term(F.col("term")))
+    return pairs.filter(wanted).select("term", "source_column")
 
 
 def drop_terms_equal_to_headers(terms: DataFrame, headers: list[str]) -> DataFrame:

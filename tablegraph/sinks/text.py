@@ -34,22 +34,36 @@ def _object(datatype: Column, lang: Column) -> Column:
     )
 
 
+def _subject() -> Column:
+    return _node(F.col("s"), F.col("s_kind"))
+
+
+def _predicate() -> Column:
+    return F.concat(F.lit("<"), "p", F.lit(">"))
+
+
+def quad_text() -> Column:
+    """The line of one quad, from its columns."""
+    graph = F.when(F.col("g").isNotNull(), F.concat(F.lit("<"), "g", F.lit(">")))
+    value = _object(F.col("o_datatype"), F.col("o_lang"))
+    return F.concat_ws(" ", _subject(), _predicate(), value, graph, F.lit("."))
+
+
+def nquad_lines(quads: DataFrame) -> DataFrame:
+    """One ``value`` line per quad."""
+    return quads.select(quad_text().alias("value"))
+
+
 def _terms(quads: DataFrame) -> DataFrame:
     """Quads with their nodes in text form."""
     return quads.select(
         "g",
-        _node(F.col("s"), F.col("s_kind")).alias("s"),
-        F.concat(F.lit("<"), "p", F.lit(">")).alias("p"),
+        _subject().alias("s"),
+        _predicate().alias("p"),
         _object(F.col("o_datatype"), F.col("o_lang")).alias("o"),
     )
 
 
-def nquad_lines(quads: DataFrame) -> DataFrame:
-    """One ``value`` line per quad."""
-    graph = F.when(F.col("g").isNotNull(), F.concat(F.lit("<"), "g", F.lit(">")))
-    return _terms(quads).select(F.concat_ws(" ", "s", "p", "o", graph, F.lit(".")).alias("value"))
-
-
 def _blocks(rows: DataFrame, block: int) -> DataFrame:
     """Rows with a block number per (graph, subject), so no block grows without bound.
 
