@@ -101,7 +101,10 @@ def suggestion_text(score: Column | None, prefix: str = "") -> Column:
     ).otherwise("")
     shown = F.lit("")
     if score is not None:
-        number = F.when(score.isNull(), "N/A").otherwise(F.format_string("%.2f", score))
+        # rint rounds exact halves to even; the format alone would round them up.
+        number = F.when(score.isNull(), "N/A").otherwise(
+            F.format_string("%.2f", F.rint(score * 100) / 100)
+        )
         shown = F.concat(F.lit(" [" + prefix), number, F.lit("]"))
     text = F.coalesce(F.col("description"), F.lit(""))
     clipped = F.when(F.length(text) > 100, F.concat(F.substring(text, 1, 100), F.lit("...")))
