@@ -25,16 +25,20 @@ def lev_score(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), F.lit(0.0)).otherwise(score)
 
 
-def lev_sim(a: Column, b: Column) -> Column:
-    """As ``lev_score`` on normalised text, but blank gives 0.0."""
-    x, y = norm(a), norm(b)
+def normed_sim(x: Column, y: Column) -> Column:
+    """1 - edit distance / longer length of two normalised texts; blank gives 0.0."""
     longest = F.greatest(F.length(x), F.length(y))
-    blank = a.isNull() | b.isNull() | (x == "") | (y == "")
+    blank = x.isNull() | y.isNull() | (x == "") | (y == "")
     return F.when(blank, F.lit(0.0)).otherwise(
         F.lit(1.0) - F.levenshtein(x, y) / F.nullif(longest, F.lit(0))
     )
 
 
+def lev_sim(a: Column, b: Column) -> Column:
+    """As ``lev_score`` on normalised text, but blank gives 0.0."""
+    return normed_sim(norm(a), norm(b))
+
+
 def token_jaccard(a: Column, b: Column) -> Column:
     x, y = tokenize(a), tokenize(b)
     both = F.size(F.array_intersect(x, y))

@@ -10,13 +10,19 @@ from pyspark.sql import functions as F
 
 from tablegraph.config import IRI_REPLACEMENTS
 
-# White space as Python's str.strip sees it: Unicode spaces plus the four separators.
-_SPACE = r"[\s\x1c-\x1f]"
+# White space as Python's str.strip sees it, Unicode spaces and separators.
+_BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+SPACE = f"[{_BLANKS}]"
+NOT_SPACE = f"[^{_BLANKS}]"
 _ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+"
 
 
 def py_strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    """Text without white space around it. A native trim: no regular expression per cell."""
+    return F.btrim(c, F.lit(_BLANKS))
 
 
 def safe_value(c: Column) -> Column:
@@ -26,7 +32,7 @@ def safe_value(c: Column) -> Column:
 
 def norm(c: Column) -> Column:
     """Stripped, lower case, runs of white space as one blank."""
-    return F.regexp_replace(F.lower(py_strip(c)), rf"(?U){_SPACE}+", " ")
+    return F.regexp_replace(F.lower(py_strip(c)), f"{SPACE}+", " ")
 
 
 def tokenize(c: Column) -> Column:
@@ -80,7 +86,7 @@ def is_linkable_iri(c: Column) -> Column:
     ok = (
         t.rlike(r"^https?://[^/?#]+")
         & (F.length(t) <= 255)
-        & ~t.rlike(r"(?U)\s")
+        & ~t.rlike(SPACE)
         & ~t.rlike(r"[\x00-\x1F\x7F]")
     )
     return F.coalesce(ok, F.lit(False))
@@ -120,7 +126,8 @@ def namespace_of(c: Column) -> Column:
 
 def extract_iris(c: Column) -> Column:
     """All absolute web IRIs inside a text, in order."""
-    found = F.regexp_extract_all(c, F.lit(r"""((?U)https?://[^\s<>"']+)"""), F.lit(1))
+    pattern = f"""(https?://[^<>"'{_BLANKS}]+)"""
+    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
     return F.filter(found, is_absolute_iri)
 
 
@@ -157,7 +164,7 @@ def entity_id(c: Column, letter: str = "") -> Column:
 
 
 def split_synonyms(c: Column) -> Column:
-    parts = F.split(py_strip(c), r"(?U)\s*[|;,\t]\s*")
+    parts = F.split(py_strip(c), f"{SPACE}*[|;,\t]{SPACE}*")
     return F.coalesce(
         F.filter(F.transform(parts, py_strip), lambda x: x != ""), F.array().cast("array<string>")
     )
@@ -221,7 +228,7 @@ def zero_padded_id(prefix: str, number: Column, total: Column) -> Column:
 def person_name(c: Column) -> Column:
     """``Last, First`` or ``First … Last`` to a struct of given and family name."""
     t = py_strip(c)
-    words = F.split(t, r"(?U)\s+")
+    words = F.split(t, f"{SPACE}+")
     inverted = F.struct(
         py_strip(F.regexp_extract(t, r"(?s)^[^,]*,(.*)$", 1)).alias("given"),
         py_strip(F.substring_index(t, ",", 1)).alias("family"),

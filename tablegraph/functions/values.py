@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from tablegraph import vocab as V
 from tablegraph.config import BOOLEAN_WORDS, TRUE_WORDS, Settings
-from tablegraph.functions.text import py_strip
+from tablegraph.functions.text import SPACE, py_strip
 
 # A number the way Python's float() reads it: digits may be grouped by single underscores.
-_DIGITS = r"\d+(?:_\d+)*"
+_DIGITS = r"\p{Nd}+(?:_\p{Nd}+)*"
 _FLOAT = (
-    rf"(?Ui)^[+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?"
-    r"|inf|infinity|nan)$"
+    rf"^[+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
+    r"|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?|[nN][aA][nN])$"
 )
 
 _CLOCK = r"[T\s]\s*(\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?)\s*(Z|[+-]\d{2}:?\d{2})?$"
@@ -32,8 +32,10 @@ _LAYOUTS = [
     (rf"(?i)^(\d{{1,2}})\.?[ -]{_MONTH}\.?,?[ -](\d{{4}})$", "$3-$2-$1"),
     (rf"(?i)^{_MONTH}\.? (\d{{1,2}}),? (\d{{4}})$", "$3-$1-$2"),
 ]
+_PLAIN_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[ T][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{1,6})?)?$"
 _MAYBE_DATE = (
-    r"(?i)^(?=.*\d{4})(?:\d{1,4}[-/. ]|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec).{3,56}$"
+    r"(?i)^(?:\d{1,4}[-/. ]|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)"
+    r"(?=.{3,56}$)(?:(?<=\d{4}.)|.*\d{4})"
 )
 _MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
@@ -49,7 +51,8 @@ def is_numeric_like(c: Column) -> Column:
     comma_decimal = F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
     comma_last = t.contains(".") & t.rlike(r",[^.]*$")
     cleaned = F.when(comma_last, comma_decimal).otherwise(no_commas)
-    return _false_if_null(py_strip(cleaned).rlike(_FLOAT))
+    with_comma = py_strip(cleaned).rlike(_FLOAT)
+    return _false_if_null(F.when(t.contains(","), with_comma).otherwise(t.rlike(_FLOAT)))
 
 
 def is_bool_like(c: Column) -> Column:
@@ -76,18 +79,26 @@ def iso_datetime(c: Column) -> Column:
     zone = F.regexp_replace(F.regexp_extract(t, _CLOCK, 2), "^Z$", "+00:00")
     zone = F.regexp_replace(zone, r"^(.\d{2}):?(\d{2})$", "$1:$2")
     iso = F.concat(F.regexp_replace(text, r"\.000000$", ""), zone)
-    return F.when(t.rlike(_MAYBE_DATE), iso)
+    # The layout most machine-written dates have needs one cast and no rewriting.
+    shown = F.translate(t, " ", "T")
+    plain = (
+        F.when(t.try_cast("timestamp_ntz").isNull(), F.lit(None).cast("string"))
+        .when(F.length(t) == 10, F.concat(t, F.lit("T00:00:00")))
+        .when(F.length(t) == 19, shown)
+        .otherwise(F.regexp_replace(F.rpad(shown, 26, "0"), r"\.000000$", ""))
+    )
+    return F.when(t.rlike(_PLAIN_DATE), plain).when(t.rlike(_MAYBE_DATE), iso)
 
 
 def _date_guards(t: Column) -> Column:
     """Texts that are never taken for a date: short, digits only, versions, codes, name + year."""
     return (
         (F.length(t) >= 5)
-        & ~t.rlike(r"(?U)^\d+$")
-        & ~t.rlike(r"(?U)^\d+(\.\d+)+$")
-        & ~t.rlike(r"(?U)^\d+[,.]\d+$")
+        & ~t.rlike(r"^\p{Nd}+$")
+        & ~t.rlike(r"^\p{Nd}+(\.\p{Nd}+)+$")
+        & ~t.rlike(r"^\p{Nd}+[,.]\p{Nd}+$")
         & ~t.rlike(r"^[A-Z0-9_-]{2,6}$")
-        & ~t.rlike(r"(?U)^[A-Za-z]+\s+\d{4}$")
+        & ~t.rlike(f"^[A-Za-z]+{SPACE}+" + r"\p{Nd}{4}$")
     )
 
 
@@ -155,9 +166,9 @@ def guess_datatype(
     return (
         F.when(t.isNull() | (t == ""), V.XSD + "string")
         .when(F.lower(t).isin(cfg.boolean_words), V.XSD + "boolean")
-        .when(year_column & t.rlike(r"(?U)^\d{4}(\.0+)?$"), V.XSD + "gYear")
-        .when(t.rlike(r"(?U)^-?\d+$"), V.XSD + "integer")
-        .when(t.rlike(r"(?U)^-?\d+[.,]\d+$"), V.XSD + "decimal")
+        .when(year_column & t.rlike(r"^\p{Nd}{4}(\.0+)?$"), V.XSD + "gYear")
+        .when(t.rlike(r"^-?\p{Nd}+$"), V.XSD + "integer")
+        .when(t.rlike(r"^-?\p{Nd}+[.,]\p{Nd}+$"), V.XSD + "decimal")
         .when((iso_datetime(t) if iso is None else iso).isNotNull(), V.XSD + "dateTime")
         .otherwise(V.XSD + "string")
     )
@@ -171,14 +182,14 @@ def literal_text(c: Column, datatype: Column, iso: Column | None = None) -> Colu
             datatype == V.XSD + "boolean",
             F.when(F.lower(t).isin(TRUE_WORDS), "true").otherwise("false"),
         )
-        .when(datatype == V.XSD + "gYear", F.regexp_extract(t, r"(?U)^(\d{4})", 1))
+        .when(datatype == V.XSD + "gYear", F.regexp_extract(t, r"^(\p{Nd}{4})", 1))
         .when(datatype == V.XSD + "dateTime", iso_datetime(t) if iso is None else iso)
         .when(datatype == V.XSD + "decimal", F.replace(t, F.lit(","), F.lit(".")))
         .otherwise(t)
     )
 
 
-_COMPARATOR = r"(?U)^(<=|>=|<|>)\s*(\d+[.,]?\d*)$"
+_COMPARATOR = f"^(<=|>=|<|>){SPACE}*" + r"(\p{Nd}+[.,]?\p{Nd}*)$"
 
 
 def comparator_parts(c: Column, settings: Settings | None = None) -> Column:

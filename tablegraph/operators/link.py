@@ -6,7 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablegraph import vocab as V
-from tablegraph.functions.similarity import contains_boost, lev_sim
+from tablegraph.functions.similarity import (
+    CONTAINS_BONUS,
+    contains_boost,
+    lev_sim,
+    normed_sim,
+)
 from tablegraph.functions.text import norm, py_strip, tokenize
 
 # Label and description predicates in order of preference.
@@ -101,6 +106,10 @@ def _score_in_row(texts: DataFrame, entities: DataFrame, fallback: int) -> DataF
     An entity carries its names in its row. A pair that shares several tokens meets under each;
     only the first shared one counts, so nothing has to be made distinct afterwards.
     """
+    # Names are normalised once per entity, not once per candidate pair.
+    entities = entities.select(
+        "uri", norm(F.col("label")).alias("label"), F.transform("names", norm).alias("names")
+    )
     known = F.array_distinct(F.flatten(F.transform("names", tokenize)))
     side = entities.withColumn("tokens", F.array_sort(known))
     asked = texts.withColumn("tokens", F.array_sort(F.array_distinct(tokenize(F.col("text")))))
@@ -117,9 +126,12 @@ def _score_in_row(texts: DataFrame, entities: DataFrame, fallback: int) -> DataF
         lost = texts.join(used.select("text"), "text", "left_anti")
         first = entities.orderBy("uri").limit(fallback).select("uri", "label", "names")
         pairs = pairs.unionByName(lost.crossJoin(F.broadcast(first)))
-    sims = F.transform("names", lambda name: lev_sim(F.col("text"), name))
-    score = contains_boost(F.array_max(sims), F.col("text"), F.col("label"))
-    return pairs.select("text", "uri", score.alias("raw"))
+    text = F.col("text")
+    sims = F.transform("names", lambda name: normed_sim(text, name))
+    best = pairs.select("text", "uri", "label", F.array_max(sims).alias("sim"))
+    boosted = F.least(F.lit(1.0), F.col("sim") + CONTAINS_BONUS)
+    hit = (F.col("label") != "") & F.col("label").contains(text)
+    return best.select("text", "uri", F.when(hit, boosted).otherwise(F.col("sim")).alias("raw"))
 
 
 def _score_long(texts, entities, synonyms, fallback) -> DataFrame:

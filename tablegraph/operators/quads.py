@@ -20,6 +20,7 @@ from tablegraph.operators.templates import TemplatePlan, plan_template
 from tablegraph.sources.tables import validate_mapping
 
 QUAD_COLUMNS = ["g", "s", "s_kind", "p", "o", "o_kind", "o_datatype", "o_lang"]
+FACTS_TYPE = "array<struct<" + ",".join(f"{c}:string" for c in QUAD_COLUMNS[1:]) + ">>"
 QUAD_SCHEMA = ", ".join(f"{c} string" for c in QUAD_COLUMNS)
 
 

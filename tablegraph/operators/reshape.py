@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablegraph.functions.text import py_strip, zero_padded_id
+from tablegraph.functions.text import SPACE, py_strip, zero_padded_id
 from tablegraph.operators.positions import global_positions, group_positions
 
 
@@ -16,7 +16,7 @@ def _col(name: str) -> Column:
 
 
 def _split_pattern(delimiter: str) -> str:
-    return r"(?U)\s*\Q" + delimiter.replace(r"\E", r"\E\\E\Q") + r"\E\s*"
+    return f"{SPACE}*" + r"\Q" + delimiter.replace(r"\E", r"\E\\E\Q") + r"\E" + f"{SPACE}*"
 
 
 def split_column(

@@ -146,23 +146,31 @@ def similar_pairs(terms: DataFrame, t: float = 0.85) -> DataFrame:
 
     keys = _keys(texts, t)
     flat = keys.select("id", "n", "kind", "keys", F.explode("keys").alias("key"))
-    x, y = flat.alias("x"), flat.alias("y")
+    # The shorter text asks for each length its partner may have and that the case above does
+    # not cover, so the length bound is part of the equality and prunes before any pairing.
+    n = F.col("n")
+    longest = F.floor(n * (2 - t) / t + _EPS).cast("int")
+
+    def left_over(m: Column) -> Column:
+        least = _common_needed(n, m, t)
+        return (least <= n) & ((n - least > 1) | (m - least > 1))
+
+    asked = flat.withColumn("m", F.explode(F.filter(F.sequence(n, longest), left_over)))
+    x, y = asked.alias("x"), flat.alias("y")
     # A pair meets under every key both prefixes share; only the first shared one counts.
     first_shared = F.get(F.array_intersect(F.col("x.keys"), F.col("y.keys")), F.lit(0))
     budget = la + lb - 2 * needed
     # Characters are keys only for pairs with a short side, bigrams for the others.
-    short = F.least(la, lb) < _short_limit(t)
-    right_kind = F.when(short, F.lit("1:")).otherwise(F.lit("2:"))
+    right_kind = F.when(la < _short_limit(t), F.lit("1:")).otherwise(F.lit("2:"))
     far = (
         x.join(
             y,
             (F.col("x.key") == F.col("y.key"))
-            & (F.col("x.id") < F.col("y.id"))
+            & (F.col("x.m") == F.col("y.n"))
+            & ((la < lb) | (F.col("x.id") < F.col("y.id")))
             & (F.col("x.kind") == right_kind)
-            & (needed <= F.least(la, lb))
-            & ~near
-            & (F.col("x.key") == first_shared)
-            & (F.levenshtein(F.col("x.id"), F.col("y.id")) <= budget),
+            & (F.levenshtein(F.col("x.id"), F.col("y.id")) <= budget)
+            & (F.col("x.key") == first_shared),
         )
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         .withColumn("lcs", lcs_length(F.col("a"), F.col("b")))

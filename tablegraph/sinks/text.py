@@ -12,7 +12,8 @@ BLOCK = 1000
 
 
 def escape(c: Column) -> Column:
-    for raw, out in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+    for raw, out in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"),
+                     ("\x1f", "\\u001F")):
         c = F.replace(c, F.lit(raw), F.lit(out))
     return c
 

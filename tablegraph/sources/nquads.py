@@ -9,7 +9,7 @@ from tablegraph.vocab import RDF, XSD
 
 _IRI = r"<([^<>\"{}|^`\\\x00-\x20]*)>"
 _NODE = rf"(?:{_IRI}|(_:[^\s<>\"]+))"
-_LITERAL = r"\"((?:[^\"\\]|\\.)*)\"(?:\^\^" + _IRI + r"|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?"
+_LITERAL = r"\"((?:[^\"\\\x1f]|\\.)*)\"(?:\^\^" + _IRI + r"|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?"
 # Groups: 1-2 subject, 3 predicate, 4-5 object node, 6-8 literal with datatype or language,
 # 9-10 graph.
 _LINE = rf"^\s*{_NODE}\s*{_IRI}\s*(?:{_NODE}|{_LITERAL})\s*(?:{_NODE})?\s*\.\s*(?:#.*)?$"
@@ -42,29 +42,32 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     """``value`` lines to quads; a line that is no quad keeps its text in ``_corrupt``."""
     v = F.col("value")
     lines = lines.filter(~v.rlike(r"^\s*(#.*)?$"))
+    # One run of the pattern per line: its groups come out joined and are then split.
+    groups = "\x1f".join(f"${i}" for i in range(1, 11))
+    parsed = lines.select(
+        v, F.when(v.rlike(_LINE), F.split(F.regexp_replace(v, _LINE, groups), "\x1f")).alias("g")
+    )
 
     def part(i: int) -> Column:
-        return F.nullif(F.regexp_extract(v, _LINE, i), F.lit(""))
+        return F.nullif(F.get("g", F.lit(i - 1)), F.lit(""))
 
-    ok = v.rlike(_LINE)
-    # A literal is present when its opening quote follows the predicate, even if it is empty.
-    is_literal = v.rlike(rf"^\s*{_NODE}\s*{_IRI}\s*\"")
+    ok = F.col("g").isNotNull()
+    # Without an object node the object is a literal, possibly an empty one.
+    is_literal = part(4).isNull() & part(5).isNull()
     language = F.lower(part(8))
     datatype = (
         F.when(part(7).isNotNull(), part(7))
         .when(language.isNotNull(), RDF + "langString")
         .otherwise(XSD + "string")
     )
-    return lines.select(
-        F.when(ok, F.coalesce(unescape(part(9)), part(10))).alias("g"),
-        F.when(ok, F.coalesce(unescape(part(1)), part(2))).alias("s"),
+    literal = unescape(F.get("g", F.lit(5)))
+    return parsed.select(
+        F.coalesce(unescape(part(9)), part(10)).alias("g"),
+        F.coalesce(unescape(part(1)), part(2)).alias("s"),
         F.when(ok, F.when(part(2).isNotNull(), "bnode").otherwise("iri")).alias("s_kind"),
-        F.when(ok, unescape(part(3))).alias("p"),
+        unescape(part(3)).alias("p"),
         F.when(
-            ok,
-            F.when(is_literal, unescape(F.regexp_extract(v, _LINE, 6))).otherwise(
-                F.coalesce(part(4), part(5))
-            ),
+            ok, F.when(is_literal, literal).otherwise(F.coalesce(unescape(part(4)), part(5)))
         ).alias("o"),
         F.when(
             ok,
