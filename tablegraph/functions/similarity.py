@@ -53,27 +53,30 @@ def contains_boost(score: Column, query: Column, label: Column) -> Column:
     return F.when(hit, F.least(F.lit(1.0), score + CONTAINS_BONUS)).otherwise(score)
 
 
-def _lcs_length(a: str, b: str) -> int:
-    """Longest common subsequence, one machine word row per character of ``b``."""
-    places: dict[str, int] = {}
-    for i, ch in enumerate(a):
-        places[ch] = places.get(ch, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
-    for ch in b:
-        hit = row & places.get(ch, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
-
-
 def lcs_length(a: Column, b: Column) -> Column:
-    """Arrow-batched longest common subsequence length; call it on filtered pairs only."""
+    """Arrow-batched longest common subsequence length; call it on filtered pairs only.
+
+    Everything the workers need is local to this function, so executors do not have to have
+    this package installed.
+    """
+
+    def one(left: str, right: str) -> int:
+        """One machine word row per character of the right text."""
+        places: dict[str, int] = {}
+        for i, ch in enumerate(left):
+            places[ch] = places.get(ch, 0) | (1 << i)
+        full = (1 << len(left)) - 1
+        row = full
+        for ch in right:
+            hit = row & places.get(ch, 0)
+            row = ((row + hit) | (row - hit)) & full
+        return len(left) - row.bit_count()
 
-    @F.pandas_udf("int")
     def measure(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([_lcs_length(x, y) for x, y in zip(left, right)], dtype="int32")
+        return pd.Series([one(x, y) for x, y in zip(left, right)], dtype="int32")
 
-    return measure(a, b)
+    # Marked so that a filter on the result is not pushed below and evaluated a second time.
+    return F.pandas_udf(measure, "int").asNondeterministic()(a, b)
 
 
 def indel_ratio(a: Column, b: Column) -> Column:

@@ -9,15 +9,35 @@ from tablegraph.functions.text import column_words, py_strip
 from tablegraph.functions.values import is_bool_like, is_date_like, is_numeric_like
 
 
-def _columns_where(df: DataFrame, test) -> DataFrame:
+# What values of a native column type are, whatever the value; None means: test each value.
+_NUMBERS = {"byte", "short", "integer", "long", "float", "double", "decimal"}
+
+
+def native_kind(data_type) -> str | None:
+    name = data_type.typeName()
+    if name in _NUMBERS:
+        return "number"
+    if name == "boolean":
+        return "boolean"
+    return "date" if name in ("date", "timestamp", "timestamp_ntz") else None
+
+
+def _columns_where(df: DataFrame, kind: str, test) -> DataFrame:
     """``column`` rows whose every non-blank value passes, with at least one value.
 
-    One scan: each column folds into a single boolean, null when it has no value.
+    One scan: each column folds into a single boolean, null when it has no value. A column with
+    a native type needs no look at its values beyond whether there is one.
     """
     folded = []
-    for c in df.columns:
-        text = py_strip(F.col(f"`{c}`").cast("string"))
-        folded.append(F.bool_and(F.when(text != "", test(text))).alias(c))
+    for field in df.schema.fields:
+        c = F.col(f"`{field.name}`")
+        native = native_kind(field.dataType)
+        if native is None:
+            text = py_strip(c.cast("string"))
+            folded.append(F.bool_and(F.when(text != "", test(text))).alias(field.name))
+        else:
+            some = F.bool_or(c.isNotNull()) if native == kind else F.lit(False)
+            folded.append(some.alias(field.name))
     row = df.agg(*folded)
     pairs = F.array(
         *[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("ok")) for c in df.columns]
@@ -29,11 +49,11 @@ def numeric_columns(df: DataFrame) -> DataFrame:
     def test(text: Column) -> Column:
         return is_numeric_like(text) & ~is_bool_like(text)
 
-    return _columns_where(df, test)
+    return _columns_where(df, "number", test)
 
 
 def date_columns(df: DataFrame) -> DataFrame:
-    return _columns_where(df, is_date_like)
+    return _columns_where(df, "date", is_date_like)
 
 
 def id_columns(df: DataFrame) -> list[str]:

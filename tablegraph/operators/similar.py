@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegraph.functions.similarity import lcs_length
-from tablegraph.session import checkpoint
+from tablegraph.session import checkpoint, parallel_tasks
 
 # Slack against float rounding in length bounds; only ever admits more candidates.
 _EPS = 1e-9
@@ -123,7 +123,10 @@ def similar_pairs(terms: DataFrame, t: float = 0.85) -> DataFrame:
         raise ValueError("threshold must be in (0, 1]")
     named = terms.select(F.col("term")).distinct().filter(F.col("term").isNotNull())
     named = named.withColumn("text", F.lower("term"))
-    texts = named.select("text").distinct().filter(F.col("text") != "")
+    # Few bytes but much work per text: a fixed width keeps all cores busy, and the distinct
+    # below needs no second shuffle.
+    texts = named.select("text").filter(F.col("text") != "")
+    texts = texts.repartition(parallel_tasks(terms), "text").distinct()
     texts = texts.select(F.col("text").alias("id"), "text", F.length("text").alias("n"))
 
     la, lb = F.col("x.n"), F.col("y.n")

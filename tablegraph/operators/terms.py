@@ -14,16 +14,22 @@ from tablegraph.config import (
 )
 from tablegraph.functions.text import py_strip
 from tablegraph.functions.values import is_object_term
-from tablegraph.operators.profile import header_terms
+from tablegraph.operators.profile import header_terms, native_kind
 from tablegraph.operators.reshape import unpivot_rows
 
 
 def distinct_terms(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Distinct ``term, source_column`` over the given columns, object terms only.
 
+    Columns with a native number, date or boolean type hold no object terms and are not read.
     Values are made distinct before the type tests, so each test runs once per value.
     """
-    cells = unpivot_rows(df, [], columns or df.columns)
+    wanted = columns or df.columns
+    kinds = {f.name: native_kind(f.dataType) for f in df.schema.fields}
+    texts = [c for c in wanted if kinds[c] is None]
+    if not texts:
+        return df.sparkSession.createDataFrame([], "term string, source_column string")
+    cells = unpivot_rows(df, [], texts)
     pairs = cells.groupBy(
         py_strip(F.col("value")).alias("term"), F.col("column").alias("source_column")
     ).agg(F.count(F.lit(1)).alias("_n"))

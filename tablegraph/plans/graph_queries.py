@@ -439,7 +439,7 @@ def document_works(t):
         F.array(F.struct(F.col("lang").alias("name"))).alias("funder"),
         F.array(F.struct(F.concat(F.lit("10.5555/"), (F.col("doc_id") + 1).cast("string")).alias("DOI"),
                          F.lit("1999").alias("year"))).alias("reference")))
-    labelled = t.documents.join(t.labels, "doc_id", "left")
+    labelled = t.spread("documents").join(t.labels, "doc_id", "left")
     index = F.to_json(F.struct(
         F.col("quality").alias("cited_by_count"),
         F.array(F.struct(F.col("lang").alias("display_name"), F.col("toxic").alias("level"))).alias("concepts")))

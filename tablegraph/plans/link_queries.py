@@ -30,7 +30,7 @@ SELECT token, count(*) AS entities FROM w GROUP BY token
 """)
 def token_index(t):
     uri = F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))
-    index = link.build_token_index(t.documents.select(uri.alias("uri"), F.col("text").alias("name")))
+    index = link.build_token_index(t.spread("documents").select(uri.alias("uri"), F.col("text").alias("name")))
     return index.groupBy("token").agg(F.count(F.lit(1)).alias("entities"))
 
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tablegraph.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -17,6 +19,10 @@ class Tables:
         self.spark = spark
         self.folder = folder
 
+    def spread(self, name: str) -> DataFrame:
+        """A table for work that is heavy per row."""
+        return spread(getattr(self, name))
+
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 

@@ -67,14 +67,25 @@ def _all_of(table: str, columns: list[str], test) -> str:
     )
 
 
+def _as_text(t):
+    """Line items as read from a delimited file: every column text, every value to be tested."""
+    df = t.spread("lineitem")
+    return df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+
+
 @query(_all_of("lineitem", LINEITEM, _is_number))
 def numeric_columns(t):
-    return profile.numeric_columns(t.lineitem)
+    return profile.numeric_columns(_as_text(t))
 
 
 @query(_all_of("lineitem", LINEITEM, _is_date))
 def date_columns(t):
-    return profile.date_columns(t.lineitem)
+    return profile.date_columns(_as_text(t))
+
+
+@query(_all_of("orders", ["o_orderdate"], _is_date) + " UNION ALL SELECT 'x' WHERE false")
+def native_date_columns(t):
+    return profile.date_columns(t.orders)
 
 
 @query("""
@@ -160,7 +171,7 @@ SELECT col AS "column", 'http://www.w3.org/2001/XMLSchema#' || dt AS datatype, c
        min(txt) AS lowest, max(txt) AS highest FROM texts GROUP BY ALL
 """)
 def typed_literals(t):
-    cells = reshape.unpivot_rows(t.lineitem, [])
+    cells = reshape.unpivot_rows(t.spread("lineitem"), [])
     paid = F.when(F.col("o_orderstatus") == "F", "ja").when(F.col("o_orderstatus") == "P", "Nein")
     more = t.orders.select(
         F.concat(F.year("o_orderdate").cast("string"), F.lit(".0")).alias("order_year"),

@@ -22,6 +22,23 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A freshly read table over at least as many tasks as there are cores.
+
+    For work that is heavy per row: a file with fewer splits than cores would keep the others
+    idle. A table with enough splits, as any large one has, is returned as it is.
+    """
+    if table.isStreaming:
+        return table
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
+def parallel_tasks(df: DataFrame) -> int:
+    """Shuffle width of the session: a number given explicitly is not merged for small data."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the reliable checkpoint folder the cluster names.
 
