@@ -211,6 +211,7 @@ def rows_to_quads(
     settings: Settings = Settings(),
     concepts: DataFrame | None = None,
     dedupe: bool = True,
+    declarations: bool = True,
 ) -> DataFrame:
     """The whole data graph of a table.
 
@@ -256,8 +257,9 @@ def rows_to_quads(
         "predicate", F.coalesce("fixed", "predicate")
     ).filter("predicate is not null")
     parts.append(cell_quads(map_objects(cells, mapping, concepts, settings), graph, settings))
-    parts.append(_declarations(spark, spec, predicates, template, mapping))
-    if spec.column_order:
+    if declarations:
+        parts.append(_declarations(spark, spec, predicates, template, mapping))
+    if declarations and spec.column_order:
         parts.append(column_order_quads(df, spec))
     quads = reduce(DataFrame.unionByName, parts)
     return distinct_quads(quads) if dedupe else quads

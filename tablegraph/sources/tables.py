@@ -10,7 +10,15 @@ from pyspark.sql import functions as F
 from tablegraph.config import NA_MARKERS
 
 DELIMITERS = [",", ";", "\t", "|"]
-ENCODINGS = ["utf-8", "latin1", "windows-1252"]
+ENCODINGS = ["utf-8", "iso-8859-1", "windows-1252"]
+
+
+def _lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
+    """``value`` lines; the text reader hands bytes through, other encodings are decoded here."""
+    lines = spark.read.text(path)
+    if encoding.lower().replace("-", "") == "utf8":
+        return lines
+    return lines.select(F.decode(F.col("value").cast("binary"), encoding).alias("value"))
 
 
 def infer_delimiter(spark: SparkSession, path: str, encoding: str = "utf-8") -> str:
@@ -18,7 +26,7 @@ def infer_delimiter(spark: SparkSession, path: str, encoding: str = "utf-8") ->
 
     Falls back to the most frequent candidate of the first line, then to a comma.
     """
-    lines = [r[0] for r in spark.read.option("encoding", encoding).text(path).limit(5).collect()]
+    lines = [r[0] for r in _lines(spark, path, encoding).limit(5).collect()]
     lines = [x.lstrip("﻿") for x in lines if x.strip()]
     counts = {d: [x.count(d) for x in lines] for d in DELIMITERS}
     steady = [d for d in DELIMITERS if lines and min(counts[d]) == max(counts[d]) > 0]
@@ -39,11 +47,11 @@ def pick_separator(spark: SparkSession, path: str) -> str:
 def detect_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 unless some line holds bytes UTF-8 cannot decode, then Latin-1.
 
-    Decided over all lines by one distributed scan; Latin-1 maps every byte.
+    Decided over all lines by one distributed scan; Latin-1 maps every byte, so the third
+    candidate is never needed.
     """
-    raw = spark.read.option("encoding", "latin1").text(path)
-    valid = F.try_validate_utf8(F.encode("value", "iso-8859-1")).isNotNull()
-    return "utf-8" if raw.filter(~valid).isEmpty() else ENCODINGS[1]
+    bad = spark.read.text(path).filter(~F.is_valid_utf8("value"))
+    return ENCODINGS[0] if bad.isEmpty() else ENCODINGS[1]
 
 
 def sanitize_names(names: list) -> list[str]:
@@ -78,48 +86,35 @@ def read_table(
     read on the driver, the rows never are: a file that starts at line 1 stays splittable.
     """
     sep = sep or infer_delimiter(spark, path, encoding)
-    if start_row <= 1:
-        df = (
-            spark.read.option("header", True)
-            .option("sep", sep)
-            .option("encoding", encoding)
-            .option("ignoreLeadingWhiteSpace", True)
-            .option("inferSchema", False)
-            .csv(path)
-        )
-        names = [c.lstrip("﻿") for c in df.columns]
+    start_row = max(start_row, 1)
+    lines = _lines(spark, path, encoding)
+    head = lines.limit(start_row).collect()
+    names = _header(spark, head[-1][0].lstrip("\ufeff") if len(head) == start_row else "", sep)
+    reader = (
+        spark.read.schema(", ".join(f"`c{i}` string" for i in range(len(names))) or "`c0` string")
+        .option("sep", sep)
+        .option("ignoreLeadingWhiteSpace", True)
+    )
+    if start_row == 1:
+        df = reader.option("header", True).option("encoding", encoding).csv(path)
     else:
-        df, names = _read_from_line(spark, path, start_row, sep, encoding)
+        # Line numbers need the line count of every earlier split: zipWithIndex does that in two
+        # passes without moving rows.
+        body = lines.rdd.zipWithIndex().filter(lambda x: x[1] >= start_row)
+        df = reader.csv(body.map(lambda x: x[0][0]))
     out = sanitize_names(names)
-    df = df.toDF(*out)
-    return df.select(
+    if not out:
+        return df.limit(0)
+    return df.toDF(*out).select(
         *[F.when(~F.col(f"`{c}`").isin(NA_MARKERS), F.col(f"`{c}`")).alias(c) for c in out]
     )
 
 
-def _read_from_line(spark, path, start_row, sep, encoding) -> tuple[DataFrame, list[str]]:
-    """Drop the lines before the header, then parse the rest as delimited text."""
-    lines = spark.read.option("encoding", encoding).text(path)
-    head = lines.limit(start_row).collect()
-    skipped = head[-1][0] if len(head) == start_row else ""
-    header = (
-        spark.read.option("sep", sep)
-        .option("ignoreLeadingWhiteSpace", True)
-        .csv(spark.sparkContext.parallelize([skipped], 1))
-        .first()
-    )
-    names = list(header) if header else []
-    # Line numbers need the line count of every earlier split: zipWithIndex does that in two
-    # passes without moving rows.
-    body = lines.rdd.zipWithIndex().filter(lambda x: x[1] >= start_row).map(lambda x: x[0][0])
-    schema = ", ".join(f"`c{i}` string" for i in range(len(names)))
-    df = (
-        spark.read.schema(schema)
-        .option("sep", sep)
-        .option("ignoreLeadingWhiteSpace", True)
-        .csv(body)
-    )
-    return df, names
+def _header(spark: SparkSession, line: str, sep: str) -> list:
+    """Names in one header line as written; an empty name is null."""
+    reader = spark.read.option("sep", sep).option("ignoreLeadingWhiteSpace", True)
+    row = reader.csv(spark.sparkContext.parallelize([line], 1)).first()
+    return list(row) if row else []
 
 
 def normalize_mixed(df: DataFrame) -> DataFrame:
