@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from tablegraph import vocab as V
 
 
-def _contains_ci(text: Column, part: Column) -> Column:
-    return F.lower(text).contains(F.lower(part))
-
-
 def _top_per_term(rows: DataFrame, limit: int) -> DataFrame:
     window = Window.partitionBy("term").orderBy(
         "uri", "label", F.col("description").asc_nulls_first()
@@ -20,13 +16,54 @@ def _top_per_term(rows: DataFrame, limit: int) -> DataFrame:
     return ranked.filter(F.col("rank") <= limit)
 
 
-def _search_terms(terms: DataFrame, labels: DataFrame, match: Column) -> DataFrame:
-    """Terms against labels by a substring test.
+def _grams(c: Column, size: int) -> Column:
+    """Distinct substrings of a length; empty for a shorter text."""
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(c) - size + 1, F.lit(1))),
+                      lambda i: i <= F.length(c) - size + 1)
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(c, i, F.lit(size))))
+
+
+def contains_join(terms: DataFrame, labels: DataFrame, column: str) -> DataFrame:
+    """Label rows with each distinct ``term`` they contain, any case; no cross join.
+
+    A text that contains a term contains all its grams, so each term asks under its rarest one
+    (three characters, fewer for shorter terms) and only those labels are checked in full.
+    """
+    texts = labels.select(F.lower(F.col(column)).alias("_text")).distinct()
+    asked = terms.select("term", F.lower("term").alias("_term")).distinct()
+    asked = asked.filter(F.col("_term") != "")
+    size = F.least(F.length("_term"), F.lit(3))
+    own = F.when(size == 1, _grams(F.col("_term"), 1)).when(
+        size == 2, _grams(F.col("_term"), 2)
+    ).otherwise(_grams(F.col("_term"), 3))
+    options = asked.select("term", "_term", F.explode(own).alias("_gram"))
+    needed = options.select("_gram").distinct()
+    every = F.concat(*[_grams(F.col("_text"), n) for n in (1, 2, 3)])
+    index = texts.select("_text", F.explode(every).alias("_gram")).join(needed, "_gram", "left_semi")
+    counts = index.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    # A gram no label has makes the term unfindable; the inner join then leaves it out.
+    found = options.join(counts, "_gram", "left").groupBy("term", "_term").agg(
+        F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), F.col("_gram"))).alias("_gram")
+    )
+    hits = found.join(index, "_gram").filter(F.col("_text").contains(F.col("_term")))
+    hits = hits.select("term", "_text")
+    return labels.join(hits, F.lower(F.col(column)) == F.col("_text")).drop("_text")
+
+
+# Characters that make a search term a pattern instead of plain text.
+_META = r"[\\^$.|?*+()\[\]{}]"
 
-    A substring test has no equality to partition by, so the search terms are the (auto-sized)
-    broadcast side and every label row is read once, in place; labels never move.
+
+def pattern_join(terms: DataFrame, labels: DataFrame, column: str) -> DataFrame:
+    """As :func:`contains_join`, but a term may be a pattern.
+
+    Plain terms, the usual case, go through the gram join. A real pattern has no equality to
+    join on; each label is tested against those few where it lies.
     """
-    return labels.join(terms.select("term").distinct(), match)
+    plain = contains_join(terms.filter(~F.col("term").rlike(_META)), labels, column)
+    patterns = terms.filter(F.col("term").rlike(_META)).select("term").distinct()
+    test = F.rlike(F.col(column), F.concat(F.lit("(?iu)"), F.col("term")))
+    return plain.unionByName(labels.join(patterns, test), allowMissingColumns=True)
 
 
 def label_contains(terms: DataFrame, quads: DataFrame, limit: int = 10) -> DataFrame:
@@ -35,7 +72,7 @@ def label_contains(terms: DataFrame, quads: DataFrame, limit: int = 10) -> DataF
     labels = labels.select(F.col("s").alias("uri"), F.col("o").alias("label")).distinct()
     texts = quads.filter(F.col("p").isin(V.SKOS + "definition", V.RDFS_COMMENT))
     texts = texts.select(F.col("s").alias("uri"), F.col("o").alias("description")).distinct()
-    hits = _search_terms(terms, labels, _contains_ci(F.col("label"), F.col("term")))
+    hits = contains_join(terms, labels, "label")
     return _top_per_term(hits.join(texts, "uri", "left"), limit)
 
 
@@ -53,9 +90,7 @@ def typed_label_contains(
     labels = labels.select(F.col("s").alias("uri"), F.col("o").alias("label")).distinct()
     texts = quads.filter(F.col("p") == V.RDFS_COMMENT)
     texts = texts.select(F.col("s").alias("uri"), F.col("o").alias("description")).distinct()
-    hits = _search_terms(
-        terms, labels.join(typed, "uri"), _contains_ci(F.col("label"), F.col("term"))
-    )
+    hits = contains_join(terms, labels.join(typed, "uri"), "label")
     return _top_per_term(hits.join(texts, "uri", "left"), limit)
 
 
@@ -78,9 +113,7 @@ def concept_search(
     pref = in_lang(V.PREF_LABEL, "label")
     names = in_lang(V.PREF_LABEL, "name").unionByName(in_lang(V.ALT_LABEL, "name"))
     names = names.join(concepts, "uri", "left_semi").distinct()
-    found = _search_terms(
-        terms, names, F.rlike(F.col("name"), F.concat(F.lit("(?iu)"), F.col("term")))
-    ).select("term", "uri").distinct()
+    found = pattern_join(terms, names, "name").select("term", "uri").distinct()
     definition = in_lang(V.SKOS + "definition", "definition")
     definition = definition.groupBy("uri").agg(F.min("definition").alias("definition"))
     note = in_lang(V.SKOS + "scopeNote", "note")

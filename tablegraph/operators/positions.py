@@ -8,11 +8,38 @@ from pyspark.sql import functions as F
 from tablegraph.session import checkpoint
 
 
+# A group up to this many rows is numbered inside one task; a larger one is split over many.
+HOT_ROWS = 1_000_000
+
+
 def group_positions(
-    df: DataFrame, keys: list[str], order_by: list[str], name: str = "pos"
+    df: DataFrame,
+    keys: list[str],
+    order_by: list[str],
+    name: str = "pos",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """1-based position of each row inside its key group, in ``order_by`` order.
 
+    The largest group is measured first (partial counts, one number to the driver). While it
+    fits one task, a window over the keys numbers the rows with a single shuffle; beyond
+    ``hot_rows`` the same result comes from :func:`split_positions`.
+    """
+    if keys:
+        sizes = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.count(F.lit(1)).alias("n"))
+        if (sizes.agg(F.max("n")).first()[0] or 0) <= hot_rows:
+            order = Window.partitionBy(*[F.col(f"`{k}`") for k in keys]).orderBy(
+                *[F.col(f"`{c}`") for c in order_by]
+            )
+            return df.withColumn(name, F.row_number().over(order).cast("long"))
+    return split_positions(df, keys, order_by, name)
+
+
+def split_positions(
+    df: DataFrame, keys: list[str], order_by: list[str], name: str = "pos"
+) -> DataFrame:
+    """:func:`group_positions` for groups of any size.
+
     Rows are range partitioned by key *and* order, so a group that holds a third of all rows
     is spread over many tasks. Each partition numbers its own run of a group; the runs are then
     shifted by the rows of the same group in earlier partitions. The partitioned rows are
@@ -49,4 +76,4 @@ def group_positions(
 
 def global_positions(df: DataFrame, order_by: list[str], name: str = "pos") -> DataFrame:
     """Dense 1-based row numbers over the whole table, without a single-task window."""
-    return group_positions(df, [], order_by, name)
+    return split_positions(df, [], order_by, name)

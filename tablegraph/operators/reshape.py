@@ -105,6 +105,12 @@ def detect_codes(df: DataFrame, column: str, delimiter: str) -> DataFrame:
     return parts.filter(F.col("code") != "").distinct().orderBy("code")
 
 
+def codes_in_use(df: DataFrame, column: str, delimiter: str, codes: list[str]) -> DataFrame:
+    """Configured codes that occur in the column; all detected codes when none are configured."""
+    found = detect_codes(df, column, delimiter)
+    return found.filter(F.col("code").isin(codes)) if codes else found
+
+
 def unpivot_rows(df: DataFrame, ids: list[str], columns: list[str] | None = None) -> DataFrame:
     """One ``(ids, column, value)`` row per non-null cell, values as text."""
     columns = [c for c in df.columns if c not in ids] if columns is None else columns

@@ -52,21 +52,32 @@ def collect_matches(quads: DataFrame) -> DataFrame:
 
 
 def property_labels(quads: DataFrame) -> DataFrame:
-    """``property, label`` of declared properties that have a label."""
-    labels = collect_labels(quads).withColumnRenamed("iri", "property")
-    return labels.join(properties(quads), "property", "left_semi")
+    """``property, label`` of declared properties that have a label: one scan, one grouping."""
+    declared = (F.col("p") == V.RDF_TYPE) & (F.col("o") == V.RDF_PROPERTY)
+    named = F.col("p").isin(V.PREF_LABEL, V.RDFS_LABEL)
+    order = F.when(named, F.struct(F.col("p") != V.PREF_LABEL, F.col("o")))
+    rows = quads.filter(declared | named).groupBy(F.col("s").alias("property")).agg(
+        F.bool_or(declared).alias("declared"), F.min_by("o", order).alias("label")
+    )
+    return rows.filter(F.col("declared") & F.col("label").isNotNull()).select("property", "label")
 
 
-def main_subjects(quads: DataFrame) -> DataFrame:
-    """``subject``: row subjects of the data graphs; without any, every subject but properties.
+def main_rows(quads: DataFrame) -> DataFrame:
+    """Quads of the row subjects: in a data graph, no property, ``/subjects/`` in the IRI.
 
-    One probe that stops at the first row decides which of the two applies.
+    Without any such subject, all of the data graphs' subjects but properties; a probe that stops
+    at the first row decides. Row by row, with the few properties joined out by size: the quads
+    do not shuffle.
     """
-    subjects = data_graphs(quads).select(F.col("s").alias("subject"), "s_kind").distinct()
-    rows = subjects.filter(F.col("subject").contains("/subjects/"))
-    base = subjects if rows.isEmpty() else rows
-    declared = properties(quads)
-    return base.join(declared, base["subject"] == declared["property"], "left_anti").select("subject")
+    data = data_graphs(quads)
+    rows = data.filter(F.col("s").contains("/subjects/"))
+    base = data if rows.isEmpty() else rows
+    return base.join(properties(quads), F.col("s") == F.col("property"), "left_anti")
+
+
+def main_subjects(quads: DataFrame) -> DataFrame:
+    """``subject``: the distinct subjects of :func:`main_rows`."""
+    return main_rows(quads).select(F.col("s").alias("subject")).distinct()
 
 
 def subject_values(quads: DataFrame) -> DataFrame:
@@ -75,11 +86,10 @@ def subject_values(quads: DataFrame) -> DataFrame:
     The label is the property's, else its IRI. Property tables are bounded by the number of
     distinct predicates and joined by size; the quads never shuffle by predicate.
     """
-    body = data_graphs(quads).filter(F.col("p") != V.RDF_TYPE)
-    body = body.select(F.col("s").alias("subject"), F.col("p").alias("property"),
-                       F.col("o").alias("value"))
-    kept = body.join(main_subjects(quads), "subject", "left_semi")
-    return attach_property_labels(kept, property_labels(quads))
+    body = main_rows(quads).filter(F.col("p") != V.RDF_TYPE).select(
+        F.col("s").alias("subject"), F.col("p").alias("property"), F.col("o").alias("value")
+    )
+    return attach_property_labels(body, property_labels(quads))
 
 
 def attach_property_labels(values: DataFrame, labels: DataFrame) -> DataFrame:
@@ -241,11 +251,15 @@ def graph_statistics(quads: DataFrame) -> DataFrame:
         F.count_if("exact").alias("exact_matches"),
         F.count_if("close").alias("close_matches"),
     )
-    values = subject_values(quads).groupBy("subject", "label").agg(F.count(F.lit(1)).alias("n"))
-    rows = values.groupBy("subject").agg(F.max("n").alias("rows"))
-    subjects = main_subjects(quads).join(rows, "subject", "left").agg(
-        F.coalesce(F.sum(F.coalesce("rows", F.lit(1))), F.lit(0)).alias("subjects")
+    # Rows of a subject: its longest label, at least one for a subject that only has a type.
+    body = main_rows(quads).select(
+        F.col("s").alias("subject"), F.col("p").alias("property"), F.col("o").alias("value")
+    )
+    counted = attach_property_labels(body, property_labels(quads)).groupBy("subject", "label").agg(
+        F.count_if(F.col("property") != V.RDF_TYPE).alias("n")
     )
+    per_row = counted.groupBy("subject").agg(F.greatest(F.max("n"), F.lit(1)).alias("rows"))
+    subjects = per_row.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("subjects"))
     # Two one-row frames side by side.
     return figures.crossJoin(subjects).select(
         "triples", "subjects", "properties", "exact_matches", "close_matches"

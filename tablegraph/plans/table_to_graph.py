@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from tablegraph.config import GraphSpec, Settings
 from tablegraph.operators import prefixes, publish, quads, resolve, skos
+from tablegraph.session import checkpoint
 from tablegraph.sources.tables import validate_mapping
 
 
@@ -43,8 +44,13 @@ def build_graphs(
     mapping = validate_mapping(mapping)
     if resolved is not None:
         mapping = resolve.enrich_mapping(mapping, resolved)
+    # The mapping feeds six joins and the data graph is both result and measured: each is
+    # computed once and read back from the shared checkpoint folder.
+    mapping = checkpoint(mapping)
     concepts = skos.term_lookup(mapping, settings)
     data = quads.rows_to_quads(table, mapping, spec, settings, concepts)
+    if dataset is not None:
+        data = checkpoint(data)
     terms = skos.skos_quads(mapping, spec.graph, run_time, settings)
     day = run_time[:10]
     catalogue = publications = None

@@ -203,5 +203,12 @@ def test_patterns(spark, vocab):
         ("nut", "u2", "blue nut", None)]
     got = patterns.typed_label_contains(terms, vocab)
     assert rows(got, "term", "uri", "label") == [("nut", "u2", "Blue Nut")]
+    odd = spark.createDataFrame([("b.lt$",), ("zzz",), ("e",), ("",), ("d b",)], "term string")
+    labels = vocab.select(F.col("o").alias("label")).distinct()
+    got = {(r.term, r.label) for r in patterns.contains_join(odd, labels, "label").collect()}
+    texts = [r.label for r in labels.collect()]
+    assert got == {(t, x) for t in ("zzz", "e", "d b") for x in texts if t in x.lower()}
+    got = patterns.pattern_join(odd.filter("term like '%$'"), labels, "label")
+    assert {r.label for r in got.collect()} == {"red bolt", "scarlet bolt", "a bolt"}
     got = patterns.concept_search(terms, vocab)
     assert rows(got, "term", "uri", "label", "description") == [("BOLT", "u1", "red bolt", "note")]

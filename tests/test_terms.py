@@ -47,6 +47,7 @@ def test_expand_codes(spark):
         reshape.expand_codes(df, "p", ",", ["a b", "a_b"])
     assert [r.code for r in reshape.detect_codes(df, "p", ",").collect()] == [
         "CIP", "ERY", "GEN", "NAL", "TET", "sensitive", "tet"]
+    assert rows(reshape.codes_in_use(df, "p", ",", ["CIP", "none"])) == [("CIP",)]
 
 
 def test_positions_split_hot_groups(spark):
@@ -54,7 +55,8 @@ def test_positions_split_hot_groups(spark):
     data = [("hot" if rng.random() < 0.4 else f"k{rng.randint(0, 30)}", i) for i in range(3000)]
     rng.shuffle(data)
     df = spark.createDataFrame(data, "k string, v int").repartition(7)
-    got = positions.group_positions(df, ["k"], ["v"]).collect()
+    got = positions.group_positions(df, ["k"], ["v"], hot_rows=50).collect()
+    assert sorted(got) == sorted(positions.group_positions(df, ["k"], ["v"]).collect())
     want = {}
     for k in {k for k, _ in data}:
         for i, v in enumerate(sorted(v for kk, v in data if kk == k), 1):
