@@ -44,9 +44,12 @@ def _false_if_null(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def is_numeric_like(c: Column) -> Column:
-    """Reads as a number, with ``.`` or ``,`` as decimal mark (the rightmost when both occur)."""
-    t = py_strip(c)
+def is_numeric_like(c: Column, stripped: bool = False) -> Column:
+    """Reads as a number, with ``.`` or ``,`` as decimal mark (the rightmost when both occur).
+
+    ``stripped``, here and below, says that white space is already gone.
+    """
+    t = c if stripped else py_strip(c)
     no_commas = F.replace(t, F.lit(","), F.lit(""))
     comma_decimal = F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
     comma_last = t.contains(".") & t.rlike(r",[^.]*$")
@@ -55,17 +58,17 @@ def is_numeric_like(c: Column) -> Column:
     return _false_if_null(F.when(t.contains(","), with_comma).otherwise(t.rlike(_FLOAT)))
 
 
-def is_bool_like(c: Column) -> Column:
-    return _false_if_null(F.lower(py_strip(c)).isin("true", "false"))
+def is_bool_like(c: Column, stripped: bool = False) -> Column:
+    return _false_if_null(F.lower(c if stripped else py_strip(c)).isin("true", "false"))
 
 
-def iso_datetime(c: Column) -> Column:
+def iso_datetime(c: Column, stripped: bool = False) -> Column:
     """ISO text of a date or date-time in one of the supported layouts, else null.
 
     Layouts: year-month-day and day/month/year by ``-``, ``/`` or ``.`` (month first unless it
     exceeds 12), ``3 October 1998``, ``October 3, 1998``; each with an optional time and offset.
     """
-    t = py_strip(c)
+    t = c if stripped else py_strip(c)
     # Every step refers to the one before it once, which keeps the expression small.
     day = F.regexp_replace(t, _CLOCK, "")
     for pattern, layout in _LAYOUTS:
@@ -102,10 +105,10 @@ def _date_guards(t: Column) -> Column:
     )
 
 
-def is_date_like(c: Column) -> Column:
+def is_date_like(c: Column, stripped: bool = False) -> Column:
     """Date test over the layouts of :func:`iso_datetime`; all work stays in the JVM."""
-    t = py_strip(c)
-    return _false_if_null(_date_guards(t) & iso_datetime(t).isNotNull())
+    t = c if stripped else py_strip(c)
+    return _false_if_null(_date_guards(t) & iso_datetime(t, True).isNotNull())
 
 
 def iso_datetime_free(c: Column) -> Column:
@@ -138,27 +141,31 @@ def is_date_like_free(c: Column) -> Column:
     return _false_if_null(_date_guards(t) & iso_datetime_free(t).isNotNull())
 
 
-def is_object_term(c: Column) -> Column:
+def is_object_term(c: Column, stripped: bool = False) -> Column:
     """Cell text worth linking: non-blank, under 250 characters, no number, date or boolean."""
-    t = py_strip(c)
+    t = c if stripped else py_strip(c)
     return _false_if_null(
         (t != "")
         & (F.length(t) < 250)
-        & ~is_numeric_like(t)
-        & ~is_bool_like(t)
-        & ~is_date_like(t)
+        & ~is_numeric_like(t, True)
+        & ~is_bool_like(t, True)
+        & ~is_date_like(t, True)
     )
 
 
 def guess_datatype(
-    c: Column, column_name: Column, settings: Settings | None = None, iso: Column | None = None
+    c: Column,
+    column_name: Column,
+    settings: Settings | None = None,
+    iso: Column | None = None,
+    stripped: bool = False,
 ) -> Column:
     """XSD datatype of one value; the column name only matters for years.
 
     ``iso`` takes an already computed :func:`iso_datetime` of the value.
     """
     cfg = settings or Settings()
-    t = py_strip(c)
+    t = c if stripped else py_strip(c)
     name = F.lower(F.coalesce(column_name, F.lit("")))
     year_column = F.lit(False)
     for word in cfg.year_words:
@@ -169,21 +176,23 @@ def guess_datatype(
         .when(year_column & t.rlike(r"^\p{Nd}{4}(\.0+)?$"), V.XSD + "gYear")
         .when(t.rlike(r"^-?\p{Nd}+$"), V.XSD + "integer")
         .when(t.rlike(r"^-?\p{Nd}+[.,]\p{Nd}+$"), V.XSD + "decimal")
-        .when((iso_datetime(t) if iso is None else iso).isNotNull(), V.XSD + "dateTime")
+        .when((iso_datetime(t, True) if iso is None else iso).isNotNull(), V.XSD + "dateTime")
         .otherwise(V.XSD + "string")
     )
 
 
-def literal_text(c: Column, datatype: Column, iso: Column | None = None) -> Column:
+def literal_text(
+    c: Column, datatype: Column, iso: Column | None = None, stripped: bool = False
+) -> Column:
     """Lexical form of a value under its datatype."""
-    t = py_strip(c)
+    t = c if stripped else py_strip(c)
     return (
         F.when(
             datatype == V.XSD + "boolean",
             F.when(F.lower(t).isin(TRUE_WORDS), "true").otherwise("false"),
         )
         .when(datatype == V.XSD + "gYear", F.regexp_extract(t, r"^(\p{Nd}{4})", 1))
-        .when(datatype == V.XSD + "dateTime", iso_datetime(t) if iso is None else iso)
+        .when(datatype == V.XSD + "dateTime", iso_datetime(t, True) if iso is None else iso)
         .when(datatype == V.XSD + "decimal", F.replace(t, F.lit(","), F.lit(".")))
         .otherwise(t)
     )
@@ -201,7 +210,7 @@ def comparator_parts(c: Column, settings: Settings | None = None) -> Column:
             F.regexp_extract(c, _COMPARATOR, 1).alias("comparator"),
             number.alias("value"),
             guess_datatype(
-                number, F.lit(None).cast("string"), settings, F.lit(None).cast("string")
+                number, F.lit(None).cast("string"), settings, F.lit(None).cast("string"), True
             ).alias("datatype"),
         ),
     )

@@ -73,7 +73,8 @@ def entity_names(entities: DataFrame, synonyms: DataFrame | None = None) -> Data
 
 def build_token_index(names: DataFrame) -> DataFrame:
     """Distinct ``token, uri`` over labels and synonyms."""
-    return names.select(F.explode(tokenize(F.col("name"))).alias("token"), "uri").distinct()
+    tokens = F.array_distinct(tokenize(F.col("name")))
+    return names.select(F.explode(tokens).alias("token"), "uri").distinct()
 
 
 def token_candidates(terms: DataFrame, index: DataFrame) -> DataFrame:

@@ -120,14 +120,15 @@ def common_namespace(groups: DataFrame) -> DataFrame:
     return ends.select("namespace", F.when(longer, cut).otherwise(F.col("namespace")).alias("bound"))
 
 
-def used_prefixes(iris: DataFrame, catalogue: DataFrame, rounds: int = 10) -> DataFrame:
+def used_prefixes(iris: DataFrame, catalogue: DataFrame) -> DataFrame:
     """``prefix, namespace`` bindings for the IRIs; a prefix is bound once, longest first.
 
     IRIs of a namespace without a fitting prefix fall to the next shorter namespace, which may
-    change that one's choice; the assignment repeats until nothing falls any more.
+    change that one's choice; the assignment repeats until nothing falls any more. Each round
+    rules out at least one namespace of the catalogue.
     """
     hits = matching_namespaces(iris.select("iri").distinct(), catalogue)
-    for _ in range(rounds):
+    while True:
         best = hits.groupBy("iri").agg(
             F.max_by("namespace", F.length("namespace")).alias("namespace")
         )
@@ -138,8 +139,6 @@ def used_prefixes(iris: DataFrame, catalogue: DataFrame, rounds: int = 10) -> Da
         if not names:
             break
         hits = hits.filter(~F.col("namespace").isin(names))
-    else:
-        raise RuntimeError(f"prefix choice did not settle within {rounds} rounds")
     bound = chosen.join(common_namespace(best), "namespace")
     order = F.struct(F.length("namespace"), F.col("namespace"))
     return bound.groupBy("prefix").agg(F.max_by("bound", order).alias("namespace"))

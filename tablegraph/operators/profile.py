@@ -47,13 +47,13 @@ def _columns_where(df: DataFrame, kind: str, test) -> DataFrame:
 
 def numeric_columns(df: DataFrame) -> DataFrame:
     def test(text: Column) -> Column:
-        return is_numeric_like(text) & ~is_bool_like(text)
+        return is_numeric_like(text, True) & ~is_bool_like(text, True)
 
     return _columns_where(df, "number", test)
 
 
 def date_columns(df: DataFrame) -> DataFrame:
-    return _columns_where(df, "date", is_date_like)
+    return _columns_where(df, "date", lambda text: is_date_like(text, True))
 
 
 def id_columns(df: DataFrame) -> list[str]:

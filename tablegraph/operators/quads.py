@@ -156,14 +156,16 @@ def map_objects(
     none = F.lit(None).cast("string")
     # Step by step, so that the costly tests are written once in the plan, not once per use.
     typed = cells.withColumn("direct", direct).withColumn("compared", compared)
-    typed = typed.withColumn("_iso", iso_datetime(value))
-    typed = typed.withColumn("_datatype", guess_datatype(value, F.col("column"), settings, iso))
+    typed = typed.withColumn("_iso", iso_datetime(value, True))
+    typed = typed.withColumn(
+        "_datatype", guess_datatype(value, F.col("column"), settings, iso, True)
+    )
     typed = typed.withColumn(
         "obj",
         F.when(F.col("as_iri") & ~T.is_iri_like(F.col("direct")), None)
         .when(F.col("direct").isNotNull(), obj(F.col("direct"), "iri", none))
         .when(F.col("compared").isNotNull(), obj(node, "bnode", none))
-        .otherwise(obj(literal_text(value, datatype, iso), "lit", datatype)),
+        .otherwise(obj(literal_text(value, datatype, iso, True), "lit", datatype)),
     )
     return typed.drop("_term", "_concept", "_norm", "_mapped", "direct", "_iso", "_datatype")
 

@@ -147,7 +147,8 @@ def similar_pairs(terms: DataFrame, t: float = 0.85) -> DataFrame:
         .agg(F.max(F.length("x.variant")).alias("lcs"))
     )
 
-    keys = _keys(texts, t)
+    # Both sides of the join below read the keys; they are worked out once.
+    keys = checkpoint(_keys(texts, t))
     flat = keys.select("id", "n", "kind", "keys", F.explode("keys").alias("key"))
     # The shorter text asks for each length its partner may have and that the case above does
     # not cover, so the length bound is part of the equality and prunes before any pairing.
@@ -195,20 +196,20 @@ def similar_pairs(terms: DataFrame, t: float = 0.85) -> DataFrame:
     )
 
 
-def consolidate_groups(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
+def consolidate_groups(pairs: DataFrame) -> DataFrame:
     """Greedy groups ``leader, member`` (leader included) from similar ``a < b`` pairs.
 
     Terms are taken in sorted order; a free term leads and takes all later free terms similar
     to it. Round by round, in parallel: a term without undecided or leading earlier neighbours
     becomes a leader; a term follows its smallest leading neighbour once every neighbour below
-    that leader is decided. The result equals the sequential loop's. Each round is checkpointed;
-    a chain longer than ``max_rounds`` raises instead of returning part of the answer.
+    that leader is decided. The result equals the sequential loop's. Each round is checkpointed
+    and decides at least the smallest open term, so the rounds end by themselves.
     """
     edges = checkpoint(pairs.select("a", "b").distinct())
     nodes = edges.select(F.explode(F.array("a", "b")).alias("term")).distinct()
     # state: null undecided, the term itself for a leader, the leader for a follower.
     state = checkpoint(nodes.withColumn("leader", F.lit(None).cast("string")))
-    for _ in range(max_rounds):
+    while True:
         known = state.select(F.col("term").alias("a"), F.col("leader").alias("la"))
         seen = edges.join(known, "a")
         leads = F.col("la") == F.col("a")
@@ -229,4 +230,3 @@ def consolidate_groups(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
             return state.join(sizes.select("leader"), "leader").select(
                 "leader", F.col("term").alias("member")
             )
-    raise RuntimeError(f"groups did not settle within {max_rounds} rounds")

@@ -34,7 +34,7 @@ def distinct_terms(df: DataFrame, columns: list[str] | None = None) -> DataFrame
         py_strip(F.col("value")).alias("term"), F.col("column").alias("source_column")
     ).agg(F.count(F.lit(1)).alias("_n"))
     # Tied to the count, so the optimizer cannot move the tests below the grouping.
-    wanted = F.when(F.col("_n") > 0, is_object_term(F.col("term")))
+    wanted = F.when(F.col("_n") > 0, is_object_term(F.col("term"), True))
     return pairs.filter(wanted).select("term", "source_column")
 
 

@@ -333,6 +333,29 @@ def used_prefixes(t):
     return prefixes.used_prefixes(_page_iris(t), page_catalogue(t))
 
 
+_CHOICES = ["en", "fr", "de", "e", "example"]
+
+
+@query(f"""WITH spaces AS (SELECT url AS iri, regexp_extract(url, '^(https?://[^/]+/)', 1) AS namespace FROM pages),
+opts AS (SELECT DISTINCT namespace, prefix, ord FROM spaces,
+  (VALUES {', '.join(f"('{p}', {i})" for i, p in enumerate(_CHOICES))}) AS v(prefix, ord)),
+scored AS (SELECT o.namespace, o.prefix, o.ord,
+  (SELECT count(DISTINCT s.iri) FROM spaces s WHERE s.namespace = o.namespace
+    AND starts_with(lower(substr(s.iri, length(o.namespace) + 1)), o.prefix)) AS score FROM opts o),
+best AS (SELECT *, max(score) OVER (PARTITION BY namespace) AS top FROM scored),
+kept AS (SELECT * FROM best WHERE CASE WHEN top > 0 THEN score > 0
+  ELSE contains(regexp_extract(namespace, '//([^/]+)', 1), prefix) END),
+placed AS (SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY score DESC, length(prefix) DESC, ord) AS i FROM kept)
+SELECT namespace, prefix FROM placed WHERE i = 1""")
+def prefix_choice(t):
+    host = F.regexp_extract("iri", r"^(https?://[^/]+/)", 1)
+    groups = _page_iris(t).withColumn("namespace", host)
+    options = F.array(*[F.struct(F.lit(p).alias("prefix"), F.lit(i).cast("long").alias("ord"))
+                        for i, p in enumerate(_CHOICES)])
+    catalogue = groups.select("namespace").distinct().select("namespace", F.inline(options))
+    return prefixes.prefix_choice(groups, catalogue)
+
+
 @query("""SELECT DISTINCT 'http://ext/' || c_custkey AS iri FROM customer
 UNION SELECT url FROM pages UNION SELECT 'http://cfg.example.org/x'""")
 def used_iris(t):

@@ -179,9 +179,12 @@ def typed_literals(t):
     )
     cells = cells.unionByName(reshape.unpivot_rows(more, []))
     value, iso = F.col("value"), F.col("iso")
-    cells = cells.withColumn("iso", X.iso_datetime(value))
-    cells = cells.withColumn("datatype", X.guess_datatype(value, F.col("column"), iso=iso))
-    cells = cells.withColumn("text", X.literal_text(value, F.col("datatype"), iso))
+    cells = cells.withColumn("value", T.py_strip(value))
+    cells = cells.withColumn("iso", X.iso_datetime(value, True))
+    cells = cells.withColumn(
+        "datatype", X.guess_datatype(value, F.col("column"), iso=iso, stripped=True)
+    )
+    cells = cells.withColumn("text", X.literal_text(value, F.col("datatype"), iso, True))
     return cells.groupBy("column", "datatype").agg(
         F.count(F.lit(1)).alias("cells"), F.min("text").alias("lowest"),
         F.max("text").alias("highest"),
