@@ -8,6 +8,7 @@ from tablegraph import vocab as V
 from tablegraph.config import Group, GraphSpec, Settings
 from tablegraph.operators import prefixes, publish, quads, skos
 from tablegraph.plans.registry import query
+from tablegraph.session import checkpoint
 from tablegraph.sinks import text as out
 from tablegraph.sources import nquads
 
@@ -116,14 +117,14 @@ def nquad_lines(t):
 SELECT '<' || g || '> {{' || chr(10) || '  ' || s || ' ' || string_agg(p || ' ' || o, ' ;' || chr(10) || '    ' ORDER BY p, o)
   || ' .' || chr(10) || '}}' AS value FROM x GROUP BY g, s""")
 def trig_blocks(t):
-    return out.trig_blocks(customer_quads(t)).select("value")
+    return out.trig_blocks(checkpoint(customer_quads(t))).select("value")
 
 
 @query(f"""WITH quads AS ({CUSTOMER_SQL}), x AS (SELECT {_TERM_S} AS s, '<' || p || '>' AS p, {_TERM_O} AS o FROM quads)
 SELECT s || ' ' || string_agg(p || ' ' || o, ' ;' || chr(10) || '    ' ORDER BY p, o) || ' .' AS value
 FROM x GROUP BY s""")
 def turtle_blocks(t):
-    return out.turtle_blocks(customer_quads(t), GRAPH).select("value")
+    return out.turtle_blocks(checkpoint(customer_quads(t)), GRAPH).select("value")
 
 
 _VALUE_JSON = f"""CASE WHEN o_kind <> 'lit' THEN '{{"@id":"' || o || '"}}'
@@ -138,7 +139,7 @@ m AS (SELECT g, s, '"' || k || '":[' || string_agg(v, ',' ORDER BY v) || ']' AS
 SELECT '{{"@id":"' || g || '","@graph":[{{"@id":"' || s || '",' || string_agg(m, ',' ORDER BY m) || '}}]}}' AS value
 FROM m GROUP BY g, s""")
 def jsonld_lines(t):
-    return out.jsonld_lines(customer_quads(t))
+    return out.jsonld_lines(checkpoint(customer_quads(t)))
 
 
 @query(f"""WITH quads AS ({CUSTOMER_SQL}), sp AS (

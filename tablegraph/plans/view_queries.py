@@ -19,6 +19,7 @@ from tablegraph.plans.graph_queries import (
     term_mapping,
 )
 from tablegraph.plans.registry import query
+from tablegraph.session import checkpoint
 
 _SUBJECT = "'https://data.example.org/orders/subjects/' || o_custkey"
 _TARGETS = {"O": EX + "concepts/open", "F": "http://ext.example.org/filled", "P": "part delivered"}
@@ -50,7 +51,8 @@ def order_quads(t):
     meta = quads.explode_facts(t.supplier, F.lit(EX + "graph/dcat-metadata"), [
         quads.fact(F.concat(F.lit("http://s/subjects/"), F.col("s_suppkey").cast("string")),
                    V.DCT + "title", F.col("s_name"))])
-    return quads.union_graphs(body, head, meta)
+    # Read several times by each view, as a stored graph would be.
+    return checkpoint(quads.union_graphs(body, head, meta))
 
 
 _HEADS = [

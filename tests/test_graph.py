@@ -264,7 +264,8 @@ INDEX = {"cited_by_count": 4, "abstract_inverted_index": {"b": [1], "a": [0, 2]}
 
 def test_publications(spark):
     bodies = spark.createDataFrame(
-        [("10.1/a", json.dumps(WORK), json.dumps(INDEX))], "doi string, crossref string, openalex string")
+        [("10.1/a", json.dumps(WORK), json.dumps(INDEX)), ("10.1/bad", "not json", None)],
+        "doi string, crossref string, openalex string")
     q = publish.publication_quads(publish.parse_works(bodies), "2024-01-01")
     got = spo(q)
     w = "https://semopenalex.org/work/W" + __import__("hashlib").md5(b"10.1/a").hexdigest()[:10].upper()
