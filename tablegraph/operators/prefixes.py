@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablegraph.functions.text import extract_iris, is_absolute_iri, strip_angle
 from tablegraph.operators.reshape import unpivot_rows
+from tablegraph.session import checkpoint
 
 
 def mapping_iris(mapping: DataFrame, column: str = "URI") -> DataFrame:
@@ -127,18 +128,16 @@ def used_prefixes(iris: DataFrame, catalogue: DataFrame) -> DataFrame:
     change that one's choice; the assignment repeats until nothing falls any more. Each round
     rules out at least one namespace of the catalogue.
     """
-    hits = matching_namespaces(iris.select("iri").distinct(), catalogue)
+    hits = checkpoint(matching_namespaces(iris.select("iri").distinct(), catalogue))
     while True:
         best = hits.groupBy("iri").agg(
             F.max_by("namespace", F.length("namespace")).alias("namespace")
         )
         chosen = prefix_choice(best, catalogue)
         failed = best.select("namespace").distinct().join(chosen, "namespace", "left_anti")
-        # The catalogue bounds this list: namespaces that were tried and have no prefix.
-        names = [r[0] for r in failed.collect()]
-        if not names:
+        if failed.isEmpty():
             break
-        hits = hits.filter(~F.col("namespace").isin(names))
+        hits = checkpoint(hits.join(failed, "namespace", "left_anti"))
     bound = chosen.join(common_namespace(best), "namespace")
     order = F.struct(F.length("namespace"), F.col("namespace"))
     return bound.groupBy("prefix").agg(F.max_by("bound", order).alias("namespace"))
