@@ -12,6 +12,7 @@ ARROW_ROWS = "1000"
 BUCKETS_PER_PARTITION = 4
 
 SIDE = "bucket int, kind int, shard int, id long, payload binary"
+BLANKS = " \t\n\x0b\f\r"
 COPY, REPLY, SPANS, TEXTS = 0, 1, 2, 3
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,6 +37,11 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def bucketed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``bucket, key, id, text, rest``: documents dealt evenly by id and text.
 

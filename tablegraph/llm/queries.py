@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegraph.llm import jaccard, phrases, suffixes
+from tablegraph.llm import bpe, jaccard, mixing, phrases, quality, suffixes
 from tablegraph.llm.frame import tuned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +103,28 @@ def op10_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.drop_passages(docs).select(
         "doc_id", "n_words", "n_removed", "removed", F.sha2("text", 256).alias("text_sha256")
     )
+
+
+@query()
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder, "doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return quality.judged(docs, labels, with_text=False).drop("lang")
+
+
+@query()
+def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = documents(spark, folder, "doc_id", "text")
+    coded = bpe.encode(docs, path).drop("text")
+    back = bpe.as_bytes(bpe.decode(coded, path))
+    return back.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2("ids_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query()
+def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder, "doc_id", "text", "source")
+    return mixing.mixed(docs, carry=["doc_id"])
