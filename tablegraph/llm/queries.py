@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegraph.llm import bpe, jaccard, mixing, phrases, quality, suffixes
+from tablegraph.llm import bpe, chat, jaccard, mixing, phrases, quality, suffixes, urls
 from tablegraph.llm.frame import tuned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,98 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder, "doc_id", "text", "source")
     return mixing.mixed(docs, carry=["doc_id"])
+
+
+@query(r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))
+    AS loss_sha256
+FROM t GROUP BY conv_id
+""")
+def op3_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
+    given = spark.read.parquet(f"{folder}/conversations.parquet").select(
+        "conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    given = given.unionByName(spark.createDataFrame(
+        [(-7, 0, "user", probe), (-7, 1, "assistant", probe)],
+        "conv_id long, turn long, role string, text string"))
+    made = chat.windows(given)
+    # Read back from the windows: repeated turns off, the rest in order.
+    back = made.withColumn("turns", chat.parsed(F.col("text"))).select(
+        "conv_id", F.struct(
+            "block", "window",
+            F.expr("slice(turns, repeated + 1, size(turns))").alias("turns"),
+            chat.targets(F.col("text"), F.col("loss")).alias("targets"),
+            F.length("text").cast("long").alias("chars")).alias("w"),
+    )
+    whole = back.groupBy("conv_id").agg(F.array_sort(F.collect_list("w")).alias("ws"))
+    turns = F.flatten(F.transform("ws", lambda w: w["turns"]))
+    loss = F.array_join(F.transform("ws", lambda w: w["targets"]), "")
+    return whole.select(
+        "conv_id", F.size(turns).cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform(
+            turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256
+        ).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"),
+        F.aggregate(F.transform("ws", lambda w: w["chars"]), F.lit(0).cast("long"), lambda s, x: s + x
+                    ).alias("formatted_chars"),
+    )
+
+
+URL_RULES = [
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+]
+
+
+@query(r"""
+WITH p AS (
+  SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN url[strpos(url, '://') + 3:] END AS s
+  FROM pages
+),
+q AS (
+  SELECT page_id,
+    coalesce(translate(regexp_extract(s, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(s, '^[^/?#]*([^?#]*)', 1), '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(s, '^[^?#]*\?([^#]*)', 1), '&'),
+      lambda x: x <> '' AND NOT regexp_matches(x, '^(ref|fbclid|gclid|utm_[a-z]+)='))) AS args, s
+  FROM p
+),
+k AS (
+  SELECT *, CASE WHEN s IS NOT NULL THEN
+    regexp_replace(regexp_replace(host, '^(www|m)\.', ''), ':(80|443)$', '')
+    || regexp_replace(path, '/+$', '')
+    || CASE WHEN len(args) > 0 THEN '?' || array_to_string(args, '&') ELSE '' END END AS key FROM q
+),
+listed AS (SELECT DISTINCT key FROM k WHERE page_id % 50 = 0 AND key IS NOT NULL),
+r AS (
+  SELECT *, ('.' || host) AS h FROM k
+),
+v AS (
+  SELECT page_id, host, path, key, CASE
+    WHEN h LIKE '%.example.org' AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN h LIKE '%.example.org' AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN h LIKE '%.com' AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN h LIKE '%.com' AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN h LIKE '%.org' AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM r
+)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block'
+  WHEN rule IS NOT NULL THEN 'allow'
+  WHEN listed.key IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM v LEFT JOIN listed ON v.key = listed.key
+""")
+def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """The list is the fixed query set: the URLs of pages whose id is divisible by 50."""
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url")
+    listed = pages.where("page_id % 50 = 0").select("url")
+    return urls.judged(pages, listed, URL_RULES).drop("url")
