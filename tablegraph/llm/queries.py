@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegraph.llm import bpe, chat, jaccard, mixing, phrases, quality, suffixes, urls
+import corpus_pipeline
+from tablegraph.llm import bpe, chat, jaccard, language, media, mixing, phrases, quality, suffixes, urls
 from tablegraph.llm.frame import tuned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,3 +224,34 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url")
     listed = pages.where("page_id % 50 = 0").select("url")
     return urls.judged(pages, listed, URL_RULES).drop("url")
+
+
+@query()
+def op6_media_columns(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder, "doc_id", "text")
+    kept = docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    read = media.fingerprinted(media.stored(kept).drop("text"))
+    return read.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.size("times"), F.hex(F.xxhash64("times", "codes"))).alias("feature"),
+    )
+
+
+@query()
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages and all documents; a document declares its ``lang`` and its source is its host."""
+    docs = documents(spark, folder, "doc_id", "text", "lang", "source")
+    pages = language.page_evidence(spark.read.parquet(f"{folder}/pages.parquet").select(
+        "page_id", "html", "url"))
+    rows = docs.select(
+        "doc_id", F.lit(None).cast("long").alias("page_id"), "text", F.col("lang").alias("declared"),
+        F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"),
+    ).unionByName(pages.withColumn("doc_id", F.lit(None).cast("long")))
+    return language.identified(rows, docs.select("text", "lang"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
