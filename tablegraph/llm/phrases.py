@@ -250,7 +250,9 @@ def without_spans(frame: DataFrame, side: DataFrame, size: int) -> DataFrame:
         columns = [docs["id"], pa.array(lengths, pa.int64()),
                    pa.array(lengths - np.diff(kept), pa.int64()), text]
         names = ["id", "n_words", "n_removed", "text"]
-        return pa.table(columns + [docs["rest"]] * rest, names=names + ["rest"] * rest)
+        if rest:
+            columns, names = [*columns, docs["rest"]], [*names, "rest"]
+        return pa.table(columns, names=names)
 
     schema = with_rest("id long, n_words long, n_removed long, text string", frame)
     return frame.groupBy("bucket").cogroup(side.groupBy("bucket")).applyInArrow(cut, schema)

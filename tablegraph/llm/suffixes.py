@@ -261,7 +261,9 @@ def drop_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         columns = [table["id"], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()),
                    pa.array(texts, pa.string()), pa.array(spans, span)]
         names = ["id", "n_words", "n_removed", "text", "removed"]
-        return pa.table(columns + [table["rest"]] * rest, names=names + ["rest"] * rest)
+        if rest:
+            columns, names = [*columns, table["rest"]], [*names, "rest"]
+        return pa.table(columns, names=names)
 
     told = first_suffixes(frame, ex.token_counts(frame, plain, tokens), least)
     schema = with_rest("id long, n_words long, n_removed long, text string, "
