@@ -17,9 +17,6 @@ from pyspark.sql import functions as F
 from tablegraph.llm.frame import COPY, REPLY, width
 from tablegraph.llm.words import column
 
-# Bits of a token that are counted. Two tokens that share them are counted together: callers use
-# counts to find candidates and to order them, never as the last word.
-KEY_BITS = 48
 ASK = "shard int, bucket int, keys binary, counts binary"
 
 
@@ -44,6 +41,16 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
 
 
+def key_bits(shards: int) -> int:
+    """Bits of a token that are counted: some 11 more than would number all tokens.
+
+    A shard is meant to get about 2**22 tokens, so the width of the shuffle tells how many there are.
+    Two tokens that share the bits are counted together: callers use counts to find candidates and to
+    order them, never as the last word.
+    """
+    return min(62, 33 + max(1, shards - 1).bit_length())
+
+
 def shard_of(keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
     """Shards are ranges of the key, so shard by shard is sorted order."""
     top = keys >> np.uint64(bits - 32)
@@ -93,16 +100,17 @@ def token_counts(frame: DataFrame, side: DataFrame, tokens) -> DataFrame:
     each, ascending. The same call on the same bucket, through :func:`totals`, reads the answer.
     """
     shards = width(frame.sparkSession)
+    bits = key_bits(shards)
 
     def ask(docs: pa.Table, extra: pa.Table) -> pa.Table:
         rows = []
         if docs.num_rows:
             found, of = tokens(docs, copy_keys(extra))
-            keys = found >> np.uint64(64 - KEY_BITS)
+            keys = found >> np.uint64(64 - bits)
             order, starts, _, counts = grouped(keys, of)
             distinct = keys[order][starts]
             bucket = docs["bucket"][0].as_py()
-            for shard, a, b in pieces(distinct, KEY_BITS, shards):
+            for shard, a, b in pieces(distinct, bits, shards):
                 rows.append((shard, bucket, pack_sorted(distinct[a:b]),
                              pack(counts[a:b].astype(np.uint32))))
         names = ["shard", "bucket", "keys", "counts"]
@@ -122,7 +130,7 @@ def token_counts(frame: DataFrame, side: DataFrame, tokens) -> DataFrame:
         return pa.table({
             "bucket": column(asked, "bucket"), "kind": pa.array([REPLY] * n, pa.int32()),
             "shard": column(asked, "shard"), "id": pa.nulls(n, pa.int64()),
-            "payload": pa.array(packed, pa.binary()),
+            "payload": pa.array([bytes([bits]) + x for x in packed], pa.binary()),
         })
 
     asked = frame.groupBy("bucket").cogroup(side.groupBy("bucket")).applyInArrow(ask, ASK)
@@ -134,9 +142,10 @@ def token_counts(frame: DataFrame, side: DataFrame, tokens) -> DataFrame:
 
 def totals(found: np.ndarray, of: np.ndarray, side: pa.Table) -> np.ndarray:
     """Documents of the whole corpus that hold each of the bucket's tokens, token by token."""
-    keys = found >> np.uint64(64 - KEY_BITS)
+    told = replies(side)
+    keys = found >> np.uint64(64 - told[0][0]) if told else found
     order, starts, entry, _ = grouped(keys, of)
-    got = [unpack(x, np.uint32) for x in replies(side)]
+    got = [unpack(x[1:], np.uint32) for x in told]
     counts = np.concatenate(got) if got else np.zeros(0, np.uint32)
     if len(counts) != len(starts):
         raise ValueError("the answers don't fit the tokens asked about")

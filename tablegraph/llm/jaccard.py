@@ -60,7 +60,9 @@ def spoken_for(docs: pa.Table, skipped: set[int]) -> np.ndarray:
 def shingle_sets(frame: DataFrame, side: DataFrame, size: int, percent: int) -> DataFrame:
     """``key, id, n`` of every document; ``tokens`` in global order, ``prefix`` places, ``parts``.
 
-    The last three are null unless a shingle of the prefix occurs in another document, and for
+    ``shared`` counts the shingles that other documents have; places count from the first of them.
+    ``centre`` is the mean log2 of the documents that hold a shingle: an original has more in common
+    with its near copies than they with each other. The last three are null unless a shingle of the prefix occurs in another document, and for
     copies: their first copy speaks for them.
     """
 
@@ -87,102 +89,154 @@ def shingle_sets(frame: DataFrame, side: DataFrame, size: int, percent: int) ->
         asks = (place < prefix[of]) & (held >= 2)
         part = (found >> np.uint64(60)).astype(np.int64)
         spread = np.bincount(of * PARTS + part, minlength=n * PARTS).reshape(n, PARTS)
+        # Shingles that no other document has come first; they can't be shared.
+        shared = np.bincount(of, held >= 2, minlength=n).astype(np.int64)
+        centre = np.bincount(of, np.log2(np.maximum(held, 1)), minlength=n) / np.maximum(counts, 1)
         own, places, parts = [None] * n, [None] * n, [None] * n
         for t in np.unique(of[asks]):
             a, b = starts[t], starts[t + 1]
             own[t] = found[a:b].view(np.int64)
-            places[t] = np.flatnonzero(asks[a:b]).astype(np.int32)
+            places[t] = np.flatnonzero(asks[a:b]).astype(np.int32) - np.int32(counts[t] - shared[t])
             parts[t] = spread[t].astype(np.int32)
         return pa.table(
             [column(docs, "key"), column(docs, "id"), pa.array(sizes, pa.int64()),
-             pa.array(own, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())),
+             pa.array(shared, pa.int64()), pa.array(centre, pa.float64()), pa.array(own, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())),
              pa.array(parts, pa.list_(pa.int32()))], schema=schema,
         )
 
     schema = pa.schema([
-        ("key", pa.int64()), ("id", pa.int64()), ("n", pa.int64()),
-        ("tokens", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int32())),
+        ("key", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()),
+        ("centre", pa.float64()), ("tokens", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int32())),
         ("parts", pa.list_(pa.int32())),
     ])
     told = token_counts(frame, side, tokens)
     return frame.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(
-        sets, "key long, id long, n long, tokens array<long>, prefix array<int>, parts array<int>"
+        sets, "key long, id long, n long, shared long, centre double, "
+        "tokens array<long>, prefix array<int>, parts array<int>"
     )
 
 
-def may_link(a: str, b: str, percent: int):
-    """Length, positional and suffix filters on two rows of one list; no linked pair fails."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    long_enough = (100 * F.least(na, nb)) >= (percent * F.greatest(na, nb))
-    # |A n B| >= t (|A| + |B|) / (1 + t)
-    need = percent * (na + nb)
-    at_most = (
-        F.least(F.col(f"{a}.place"), F.col(f"{b}.place"))
-        + F.least(na - F.col(f"{a}.place"), nb - F.col(f"{b}.place"))
+def may_link(x: str, y: str, percent: int):
+    """Length and positional filters on two rows of one list, ````n, shared, at`` with prefixes``.
+
+    A linked pair has |A n B| >= t (|A| + |B|) / (1 + t), and is found at its first common shingle:
+    before it nothing is shared, so the smaller tail bounds the overlap. Tails count the shingles that
+    other documents have; the others only add to the sizes.
+    """
+    nx, ny = F.col(f"{x}n"), F.col(f"{y}n")
+    most = F.least(
+        F.col(f"{x}shared") - F.col(f"{x}at"), F.col(f"{y}shared") - F.col(f"{y}at")
     )
-    common = F.aggregate(
-        F.zip_with(f"{a}.parts", f"{b}.parts", lambda x, y: F.least(x, y)),
-        F.lit(0), lambda s, x: s + x,
+    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & (
+        (100 + percent) * most >= percent * (nx + ny)
+    )
+
+
+def by_leader(percent: int):
+    """Filter on two nodes whose overlaps with one leader are known.
+
+    What they share is in the leader, at most the smaller overlap, or outside, at most the smaller
+    rest. A near copy that failed against its original rarely reaches another near copy of it.
+    """
+    outside = [F.greatest(F.lit(0), F.col(f"{s}shared") - F.col(f"{s}in")) for s in "xy"]
+    most = F.least("xin", "yin") + F.least(*outside)
+    return (F.col("xlead") != F.col("ylead")) | (
+        (100 + percent) * most >= percent * (F.col("xn") + F.col("yn"))
     )
-    return long_enough & ((100 + percent) * at_most >= need) & ((100 + percent) * common >= need)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose whole sets link, each verified once."""
-    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(right, "b").join(left, "a")
+def overlaps(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """``a, b, both, linked`` of the pairs that pass the suffix filter, on whole sets, once each.
+
+    Suffix filter: the hashes of both sets between fixed pivots; no part shares more than its smaller.
+    """
+    cut = nodes.select("key", "parts")
+    likely = pairs.join(cut.select(F.col("key").alias("a"), F.col("parts").alias("pa")), "a").join(
+        cut.select(F.col("key").alias("b"), F.col("parts").alias("pb")), "b"
+    )
+
+    def total(parts):
+        return F.aggregate(parts, F.lit(0), lambda s, x: s + x)
+
+    common = total(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)))
+    likely = likely.where(
+        (100 + percent) * common >= percent * (total(F.col("pa")) + total(F.col("pb")))
+    ).select("a", "b")
+    sets = nodes.select("key", "tokens")
+    whole = likely.join(
+        sets.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b"
+    ).join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a")
     shared = F.size(F.array_intersect("ta", "tb"))
     either = F.size("ta") + F.size("tb") - shared
-    return both.where(100 * shared >= percent * either).select("a", "b")
+    return whole.select(
+        "a", "b", shared.alias("both"), (100 * shared >= percent * either).alias("linked")
+    )
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             size: int = 5, percent: int = 75) -> DataFrame:
-    """``id, n_shingles, component_id`` for each document."""
+    """``id, n_shingles, component_id`` for each document: the smallest id its links reach."""
     frame = bucketed(docs, id_col, text_col)
     found = copies(frame)
     sets = checkpoint(shingle_sets(frame, copy_side(found), size, percent))
-    nodes = sets.where("tokens is not null and id is not null").dropDuplicates(["id", "key"])
     # Rows of one id with different texts are different sets: until the end, a key is a node's name.
-    lists = nodes.select(
-        F.col("key").alias("id"), "n", "parts", "tokens", F.explode("prefix").alias("place")
-    ).select("id", "n", "parts", "place", F.get("tokens", F.col("place")).alias("token"))
-    one = F.struct("id", "n", "place", "parts")
-    shared = lists.groupBy("token").agg(
-        F.min(one).alias("x"), F.max("id").alias("last")
-    ).where("x.id < last").drop("last")
-    member = lists.select("token", one.alias("y"))
-    by_key = nodes.select(F.col("key").alias("id"), "tokens")
-    # First pass: each node against the first leader that any of its lists names.
-    first = (
-        member.join(shared, "token").where("x.id < y.id").where(may_link("x", "y", percent))
-        .groupBy(F.col("y.id").alias("b")).agg(F.min("x.id").alias("a"))
+    nodes = sets.where("tokens is not null and id is not null").dropDuplicates(["key"])
+    # The more central, the smaller; the key's bits make it one node's own.
+    nodes = nodes.withColumn("rank", F.shiftleft(
+        F.greatest(F.lit(0), 0xFFFF - F.floor(F.col("centre") * 1024)).cast("long"), 47
+    ).bitwiseOR(F.col("key").bitwiseAND((1 << 47) - 1)))
+
+    def lists(of: DataFrame, *columns: str) -> DataFrame:
+        """A row for each node and each shingle of its prefix that others have."""
+        ask = F.explode(F.transform("prefix", lambda p: F.struct(
+            F.get("tokens", (p + F.col("n") - F.col("shared")).cast("int")).alias("token"),
+            p.cast("long").alias("at"))))
+        return of.select("key", "n", "shared", *columns, ask.alias("ask")).select(
+            "key", "n", "shared", *columns, "ask.token", "ask.at"
+        )
+
+    # First pass: each node against the most central leader that any of its lists names.
+    rows = lists(nodes, "rank")
+    leaders = rows.groupBy("token").agg(
+        *[F.min_by(c, "rank").alias(f"x{c}") for c in ("key", "n", "shared", "at")],
+        F.min("rank").alias("xrank"), F.max("rank").alias("last"),
+    ).where("xrank < last").drop("last")
+    first = checkpoint(
+        rows.join(leaders, "token").where("xrank < rank")
+        .where(may_link("x", "", percent))
+        .groupBy(F.col("key").alias("a")).agg(F.min_by("xkey", "xrank").alias("b"))
     )
-    first = checkpoint(first)
-    links = checkpoint(verified(first, by_key, percent))
-    comp = components(links)
+    met = checkpoint(overlaps(first, nodes, percent))
+    links = met.where("linked").select("a", "b")
+    comp = components(links).select(F.col("id").alias("key"), F.col("component").alias("c"))
     # Second pass: whatever the lists allow between classes that are still apart.
-    known = comp.select("id", F.col("component").alias("c"))
-    marked = (
-        lists.join(shared.select("token"), "token").join(known, "id", "left")
-        .withColumn("c", F.coalesce("c", "id"))
+    led = met.select(F.col("a").alias("key"), F.col("b").alias("lead"), F.col("both").alias("in"))
+    marked = lists(
+        nodes.join(comp, "key", "left").join(led, "key", "left").withColumns({
+            "c": F.coalesce("c", "key"), "lead": F.coalesce("lead", "key"),
+            "in": F.coalesce("in", "n").cast("long")}),
+        "c", "lead", "in",
+    )
+    open_ = marked.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
+    open_ = open_.where("c0 < c1").select("token")
+    apart = checkpoint(marked.join(open_, "token"))
+    largest = apart.groupBy("token", "c").agg(F.count(F.lit(1)).alias("rows")).groupBy("token").agg(
+        F.max_by("c", "rows").alias("main")
     )
-    per_class = marked.groupBy("token", "c").agg(F.count(F.lit(1)).alias("rows"))
-    largest = per_class.groupBy("token").agg(
-        F.max(F.struct("rows", "c")).alias("top"), F.count(F.lit(1)).alias("apart")
-    ).where("apart > 1").select("token", F.col("top.c").alias("main"))
-    apart = marked.join(largest, "token").select("token", "main", "c", one.alias("z"))
-    few = apart.where("c <> main").select("token", F.col("c").alias("cx"), F.col("z").alias("x"))
-    every = apart.select("token", "main", F.col("c").alias("cy"), F.col("z").alias("y"))
+    apart = apart.join(largest, "token")
+    names = ("c", "key", "n", "shared", "at", "lead", "in")
+    few = apart.where("c <> main").select(
+        "token", *[F.col(c).alias(f"x{c}") for c in names])
+    every = apart.select(
+        "token", "main", *[F.col(c).alias(f"y{c}") for c in names])
     more = (
-        few.join(every, "token").where("cx <> cy and (cy = main or x.id < y.id)")
-        .where(may_link("x", "y", percent))
-        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        .distinct().join(first, ["a", "b"], "left_anti")
+        few.join(every, "token").where("xc <> yc and (yc = main or xkey < ykey)")
+        .where(may_link("x", "y", percent)).where(by_leader(percent))
+        .select(F.least("xkey", "ykey").alias("a"), F.greatest("xkey", "ykey").alias("b")).distinct()
     )
-    links = links.unionByName(verified(more, by_key, percent))
-    # From rows to documents: links by id, so that rows of one id are one node, and copies.
+    links = links.unionByName(
+        overlaps(checkpoint(more), nodes, percent).where("linked").select("a", "b"))
+    # From keys to documents: links by id, so that rows of one id are one node, and copies.
     ids = nodes.select("key", "id")
     told = links.join(ids.select(F.col("key").alias("a"), F.col("id").alias("ia")), "a").join(
         ids.select(F.col("key").alias("b"), F.col("id").alias("ib")), "b"
