@@ -76,10 +76,6 @@ def is_iri_like(c: Column) -> Column:
     )
 
 
-def has_no_bad_iri_chars(c: Column) -> Column:
-    return ~c.rlike(r"[()<> {}]")
-
-
 def is_linkable_iri(c: Column) -> Column:
     """Web link fit for a spreadsheet cell: at most 255 characters, no blanks or controls."""
     t = py_strip(c)
@@ -158,9 +154,12 @@ def subject_iri(id_col: Column, base: str, replacements: dict[str, str] | None =
     return F.concat(F.lit(base.rstrip("/") + "/"), clean_for_iri(safe_value(id_col), replacements))
 
 
-def entity_id(c: Column, letter: str = "") -> Column:
-    """First ten hex digits of the md5, upper case, behind a type letter."""
-    return F.concat(F.lit(letter), F.upper(F.substring(F.md5(c), 1, 10)))
+def entity_id(c: Column, letter: str = "", digits: int = 32) -> Column:
+    """Hex digits of the md5, upper case, behind a type letter.
+
+    All of them by default: at a million entities ten digits are likely to name two of them alike.
+    """
+    return F.concat(F.lit(letter), F.upper(F.substring(F.md5(c), 1, digits)))
 
 
 def split_synonyms(c: Column) -> Column:
@@ -170,11 +169,6 @@ def split_synonyms(c: Column) -> Column:
     )
 
 
-def label_with_description(label: Column, description: Column) -> Column:
-    has = F.coalesce(description, F.lit("")) != ""
-    return F.when(has, py_strip(F.concat_ws(" ", label, description))).otherwise(label)
-
-
 def quote_plus(c: Column) -> Column:
     """Form encoding with blanks as ``+`` and ``~`` kept (``*`` escaped)."""
     return F.replace(

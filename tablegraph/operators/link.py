@@ -20,8 +20,6 @@ DESCRIPTION_PREDICATES = [
     V.DCT + "description", V.DC + "description", V.RDFS_COMMENT, V.SKOS + "definition",
     V.SKOS + "note",
 ]
-# Entities compared with a term that has no token hit at all.
-FALLBACK_ENTITIES = 5000
 
 
 def pick_literal(predicates: list[str], prefer=("en", "")) -> Column:
@@ -89,19 +87,7 @@ def token_candidates(terms: DataFrame, index: DataFrame) -> DataFrame:
     return asked.join(index, "token").select("term_id", "term", "uri").distinct()
 
 
-def fallback_candidates(terms: DataFrame, hits: DataFrame, entities: DataFrame,
-                        limit: int = FALLBACK_ENTITIES) -> DataFrame:
-    """``term_id, term, uri`` of the first ``limit`` entities by IRI, for terms without a hit.
-
-    This is a defined scan width, not a candidate cap: a top-k of at most ``limit`` short rows,
-    so the broadcast side has a fixed size bound.
-    """
-    lost = terms.join(hits.select("term_id").distinct(), "term_id", "left_anti")
-    first = entities.select("uri").orderBy("uri").limit(limit)
-    return lost.select("term_id", "term").crossJoin(F.broadcast(first))
-
-
-def _score_in_row(texts: DataFrame, entities: DataFrame, fallback: int) -> DataFrame:
+def _score_in_row(texts: DataFrame, entities: DataFrame) -> DataFrame:
     """``text, uri, raw``: each candidate pair scored once, straight out of the token join.
 
     An entity carries its names in its row. A pair that shares several tokens meets under each;
@@ -120,13 +106,6 @@ def _score_in_row(texts: DataFrame, entities: DataFrame, fallback: int) -> DataF
     pairs = left.join(
         right, (F.col("t.token") == F.col("e.token")) & (F.col("t.token") == shared)
     ).select("t.text", "e.uri", "e.label", "e.names")
-    if fallback > 0:
-        used = asked.withColumn("token", F.explode("tokens")).join(
-            side.select(F.explode("tokens").alias("token")).distinct(), "token"
-        )
-        lost = texts.join(used.select("text"), "text", "left_anti")
-        first = entities.orderBy("uri").limit(fallback).select("uri", "label", "names")
-        pairs = pairs.unionByName(lost.crossJoin(F.broadcast(first)))
     text = F.col("text")
     sims = F.transform("names", lambda name: normed_sim(text, name))
     best = pairs.select("text", "uri", "label", F.array_max(sims).alias("sim"))
@@ -135,17 +114,14 @@ def _score_in_row(texts: DataFrame, entities: DataFrame, fallback: int) -> DataF
     return best.select("text", "uri", F.when(hit, boosted).otherwise(F.col("sim")).alias("raw"))
 
 
-def _score_long(texts, entities, synonyms, fallback) -> DataFrame:
+def _score_long(texts, entities, synonyms) -> DataFrame:
     """As :func:`_score_in_row` for names kept as rows, however many an entity has."""
     names = entity_names(entities, synonyms)
     asked = texts.select(F.col("text").alias("term_id"), F.col("text").alias("term"))
     hits = token_candidates(asked, build_token_index(names))
-    pairs = hits
-    if fallback > 0:
-        pairs = pairs.unionByName(fallback_candidates(asked, hits, entities, fallback))
     sim = lev_sim(F.col("term"), F.col("name"))
     best = (
-        pairs.join(names, "uri").groupBy("term", "uri", "label").agg(F.max(sim).alias("sim"))
+        hits.join(names, "uri").groupBy("term", "uri", "label").agg(F.max(sim).alias("sim"))
     )
     score = contains_boost(F.col("sim"), F.col("term"), F.col("label"))
     return best.select(F.col("term").alias("text"), "uri", score.alias("raw"))
@@ -157,12 +133,12 @@ def search_vocabulary(
     limit: int = 10,
     synonyms: DataFrame | None = None,
     source: str = "local",
-    fallback: int = FALLBACK_ENTITIES,
 ) -> DataFrame:
     """Best ``limit`` entities per term by name similarity.
 
     ``term_id, term, rank, uri, label, description, score, source_provider``. The score is the
-    best similarity over label and synonyms plus the bonus for a label that contains the term.
+    best similarity over label and synonyms plus the bonus for a label that contains the term. A
+    term that shares no token with any entity gets no row.
     Terms with the same normalised text are searched once. Synonyms are an in-row array of
     ``entities`` or a long ``uri, name`` frame.
     """
@@ -174,9 +150,9 @@ def search_vocabulary(
         more = F.coalesce("synonyms", none) if "synonyms" in entities.columns else none
         names = F.array_distinct(F.concat(F.array("label"), more))
         rows = entities.select("uri", "label", names.alias("names"))
-        scored = _score_in_row(texts, rows, fallback)
+        scored = _score_in_row(texts, rows)
     else:
-        scored = _score_long(texts, entities, synonyms, fallback)
+        scored = _score_long(texts, entities, synonyms)
     # rank <= k on row_number keeps only k rows per text and task before the shuffle.
     order = Window.partitionBy("text").orderBy(F.desc("raw"), "uri")
     top = scored.withColumn("rank", F.row_number().over(order)).filter(
@@ -200,16 +176,3 @@ def merge_resources_topk(parts: list[DataFrame], limit: int = 10) -> DataFrame:
     top = merged.withColumn("_place", F.row_number().over(order))
     top = top.filter(F.col("_place") <= max(limit, 1))
     return top.withColumn("rank", F.col("_place")).drop("_place", "_resource")
-
-
-def sample_value(values: DataFrame) -> DataFrame:
-    """One definition and note per ``s, label``: the smallest of each."""
-    return values.groupBy("s", "label").agg(
-        F.min("definition").alias("definition"), F.min("note").alias("note")
-    )
-
-
-def limit_entities(entities: DataFrame, count: int) -> DataFrame:
-    """The first ``count`` entities by IRI."""
-    return entities.orderBy("uri").limit(count)
-

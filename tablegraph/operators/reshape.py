@@ -37,12 +37,12 @@ def split_column(
     return df.select(*old, *new)
 
 
-def suggest_split_names(df: DataFrame, column: str, delimiter: str, cap: int = 20) -> DataFrame:
-    """``position, name``: as many numbered names as the longest split has parts, at most cap."""
+def suggest_split_names(df: DataFrame, column: str, delimiter: str) -> DataFrame:
+    """``position, name``: as many numbered names as the longest split has parts."""
     parts = F.size(F.split(_col(column).cast("string"), r"\Q" + delimiter + r"\E"))
     longest = df.agg(F.max(parts).alias("n"))
     return longest.select(
-        F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(cap)))).alias("position")
+        F.explode(F.sequence(F.lit(1), F.col("n"))).alias("position")
     ).select("position", F.concat(F.lit(column + "_"), F.col("position").cast("string")).alias("name"))
 
 

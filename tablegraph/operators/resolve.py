@@ -63,10 +63,13 @@ def resolve_cascade(
 
 
 def restore_input_order(inputs: DataFrame, results: DataFrame) -> DataFrame:
-    """Results in the order of ``row_id``; an input without a result is an error row."""
-    r = results.dropDuplicates(["iri"]).withColumnRenamed("iri", "_iri")
+    """Results in the order of ``row_id``; an input without a result is an error row.
+
+    Of several results for one IRI the smallest by all its columns counts.
+    """
     names = [c for c in results.columns if c not in ("iri", "row_id", "source", "message")]
-    r = r.select("_iri", *names, "source", "message")
+    least = F.min(F.struct(*names, "source", "message")).alias("_r")
+    r = results.groupBy(F.col("iri").alias("_iri")).agg(least).select("_iri", "_r.*")
     joined = inputs.join(r, inputs["iri"] == F.col("_iri"), "left")
     return joined.select(
         *inputs.columns,

@@ -472,7 +472,7 @@ def document_works(t):
 
 
 def _h(kind, letter, text):
-    return f"'https://semopenalex.org/{kind}/{letter}' || upper(substr(md5({text}), 1, 10))"
+    return f"'https://semopenalex.org/{kind}/{letter}' || upper(md5({text}))"
 
 
 _W = _h("work", "W", "'10.5555/' || doc_id")

@@ -99,7 +99,7 @@ def split_priority(t):
 
 @query("""
 SELECT CAST(i AS INTEGER) AS position, 'text_' || i AS name
-FROM (SELECT least(20, max(len(string_split(text, ' ')))) AS n FROM conversations),
+FROM (SELECT max(len(string_split(text, ' '))) AS n FROM conversations),
      generate_series(1, n) AS g(i)
 """)
 def suggest_split_names(t):
@@ -483,7 +483,7 @@ def extract_iris(t):
 
 
 @query("""
-SELECT c_custkey, 'A' || upper(substr(md5(c_name), 1, 10)) AS entity,
+SELECT c_custkey, 'A' || upper(md5(c_name)) AS entity,
  'https://l/c?i=http%3A%2F%2Fx%2Fobo%2FGO_' || c_custkey || '&a=GO' AS link,
  'https://doi.org/10.1%2F' || replace(c_name, '#', '%23') AS doi, substr(c_name, 1, 8) AS given_first,
  'https://www.ncbi.nlm.nih.gov/' || CASE WHEN c_nationkey < 9 THEN 'gene' ELSE lower(c_mktsegment) END

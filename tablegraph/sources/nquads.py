@@ -9,7 +9,8 @@ from tablegraph.vocab import RDF, XSD
 
 _IRI = r"<([^<>\"{}|^`\\\x00-\x20]*)>"
 _NODE = rf"(?:{_IRI}|(_:[^\s<>\"]+))"
-_LITERAL = r"\"((?:[^\"\\\x1f]|\\.)*)\"(?:\^\^" + _IRI + r"|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?"
+# Possessive runs: the pattern keeps no state for a character, so a literal may have any length.
+_LITERAL = r"\"([^\"\\]*+(?:\\.[^\"\\]*+)*+)\"(?:\^\^" + _IRI + r"|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?"
 # Groups: 1-2 subject, 3 predicate, 4-5 object node, 6-8 literal with datatype or language,
 # 9-10 graph.
 _LINE = rf"^\s*{_NODE}\s*{_IRI}\s*(?:{_NODE}|{_LITERAL})\s*(?:{_NODE})?\s*\.\s*(?:#.*)?$"
@@ -42,10 +43,11 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     """``value`` lines to quads; a line that is no quad keeps its text in ``_corrupt``."""
     v = F.col("value")
     lines = lines.filter(~v.rlike(r"^\s*(#.*)?$"))
-    # One run of the pattern per line: its groups come out joined and are then split.
-    groups = "\x1f".join(f"${i}" for i in range(1, 11))
+    # One run of the pattern per line: its groups come out joined, by the one character that no line
+    # holds, and are then split.
+    groups = "\n".join(f"${i}" for i in range(1, 11))
     parsed = lines.select(
-        v, F.when(v.rlike(_LINE), F.split(F.regexp_replace(v, _LINE, groups), "\x1f")).alias("g")
+        v, F.when(v.rlike(_LINE), F.split(F.regexp_replace(v, _LINE, groups), "\n")).alias("g")
     )
 
     def part(i: int) -> Column:

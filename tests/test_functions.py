@@ -153,7 +153,7 @@ def test_names_and_ids(spark):
     names = apply(spark, ["Smith, John; Doe, Alice", "Ann B. Lee", "Plato"], T.person_names)
     assert [[(n.given, n.family) for n in row] for row in names] == [
         [("John", "Smith"), ("Alice", "Doe")], [("Ann B.", "Lee")], [("", "Plato")]]
-    assert apply(spark, ["a"], lambda c: T.entity_id(c, "W")) == ["W0CC175B9C0"]
+    assert apply(spark, ["a"], lambda c: T.entity_id(c, "W", 10)) == ["W0CC175B9C0"]
     assert apply(spark, ["a|b; c ,, d"], T.split_synonyms) == [["a", "b", "c", "d"]]
     assert apply(spark, ["MyColName_2 HTTPServer x"], T.column_words) == [
         ["my", "col", "name", "http", "server"]]

@@ -150,3 +150,14 @@ def test_spread_only_adds_tasks(spark):
     assert spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     wide = spark.range(100, numPartitions=20)
     assert spread(wide) is wide
+
+
+def test_long_and_odd_literals(spark):
+    from tablegraph.sources.nquads import parse_lines
+
+    texts = ["x" * 200_000, '\\"' * 50_000 + "\\n", "a\x1fb\x1f", "\\\\" * 30_000]
+    lines = [(f'<http://a/s{i}> <http://a/p> "{t}"@en <http://a/g> .',) for i, t in enumerate(texts)]
+    got = {r.s: r for r in parse_lines(spark.createDataFrame(lines, "value string")).collect()}
+    want = ["x" * 200_000, '"' * 50_000 + "\n", "a\x1fb\x1f", "\\" * 30_000]
+    assert [got[f"http://a/s{i}"].o for i in range(4)] == want
+    assert all(r._corrupt is None and r.o_lang == "en" for r in got.values())
