@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 # Rows per Arrow batch: with texts of any length a batch is bounded by Spark's bytes per batch too.
 ARROW_ROWS = "1000"
 # Buckets per shuffle partition: a bucket is the unit that one Python call holds in memory.
-BUCKETS_PER_PARTITION = 4
+BUCKETS_PER_PARTITION = 2
 
 SIDE = "bucket int, kind int, shard int, id long, payload binary"
 BLANKS = " \t\n\x0b\f\r"
