@@ -11,6 +11,11 @@ the member's document loses it.
 Buckets send one suffix per run (their own first), so a passage of very many documents is one row for
 each bucket, and the answer goes back to the bucket, where the other members are extended.
 
+A member can share too little with the run's first suffix and enough with a later one. An exact check
+settles that: of each stretch of ``least`` words that holds a shared suffix, buckets send the hash and
+their smallest id, shards answer the smallest of all, and every stretch of an earlier document goes. So
+a word goes just if a window of ``least`` words around it is also in a document of smaller id.
+
 A whole-text copy of an earlier document with at least ``least`` words loses them all. Repeats inside
 one document stay. Null texts have no words; rows with a null id neither lose nor take words. Equal
 rows get equal results. Text around what goes is left as it was. Columns of any name pass through.
@@ -37,7 +42,8 @@ GRAM = 8
 SPAN = 25
 FIRSTS = 8
 
-ASK = "shard int, bucket int, keys binary, ids binary, places binary, several binary, texts binary"
+ASK = ("shard int, bucket int, keys binary, ids binary, places binary, several binary, texts binary, "
+       "stretches binary, owners binary")
 
 
 def suffixes(w: Words, out: np.ndarray, least: int):
@@ -69,6 +75,21 @@ def context(w: Words, p: int, least: int) -> tuple[str, str]:
     return w.between(int(a), int(p)), w.between(int(p), int(b))
 
 
+def stretches(w: Words, at: np.ndarray, least: int):
+    """Starts of the stretches of ``least`` words that hold one of the places, and their hashes."""
+    near = covered(len(w.flat), np.maximum(at - (SPAN - 1), 0), at + 1)
+    fits = inside(w, least)
+    starts = np.flatnonzero(near[: len(fits)] & fits)
+    return starts, windows(w.hashes, least)[starts]
+
+
+def fresh(values: np.ndarray) -> np.ndarray:
+    """Mask of the values that differ from the one before."""
+    mask = np.ones(len(values), bool)
+    mask[1:] = values[1:] != values[:-1]
+    return mask
+
+
 def squeeze(texts: list[str]) -> bytes:
     return b"" if not texts else zstandard.ZstdCompressor(level=3).compress("\n".join(texts).encode())
 
@@ -86,19 +107,28 @@ def first_suffixes(frame: DataFrame, side: DataFrame, least: int) -> DataFrame:
         rows = []
         if docs.num_rows:
             w, at, hashes = shared(docs, extra, least)
-            begin = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])
-                                   ) if len(at) else np.zeros(0, np.int64)
+            begin = np.flatnonzero(fresh(hashes))
             many = np.diff(np.concatenate([begin, [len(at)]])) > 1
             own, keys = at[begin], hashes[begin]
             ids = ids_of(docs)[w.texts[own]]
             places = own - w.offsets[w.texts[own]]
+            starts, found = stretches(w, at, least)
+            owners = ids_of(docs)[w.texts[starts]]
+            order = np.lexsort((owners, found))
+            order = order[fresh(found[order])]
+            found, owners = found[order], owners[order]
             bucket = docs["bucket"][0].as_py()
-            for shard, a, b in ex.pieces(keys, 64, shards):
+            mine = {shard: (a, b) for shard, a, b in ex.pieces(keys, 64, shards)}
+            theirs = {shard: (a, b) for shard, a, b in ex.pieces(found, 64, shards)}
+            for shard in sorted(mine.keys() | theirs.keys()):
+                a, b = mine.get(shard, (0, 0))
+                c, d = theirs.get(shard, (0, 0))
                 texts = [x for p in own[a:b] for x in context(w, p, least)]
                 rows.append((shard, bucket, ex.pack_sorted(keys[a:b]), ex.pack(ids[a:b]),
-                             ex.pack(places[a:b]), ex.pack(many[a:b]), squeeze(texts)))
-        names = ["shard", "bucket", "keys", "ids", "places", "several", "texts"]
-        types = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+                             ex.pack(places[a:b]), ex.pack(many[a:b]), squeeze(texts),
+                             ex.pack_sorted(found[c:d]), ex.pack(owners[c:d])))
+        names = ["shard", "bucket", "keys", "ids", "places", "several", "texts", "stretches", "owners"]
+        types = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
         return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)],
                         names=names)
 
@@ -119,19 +149,22 @@ def first_suffixes(frame: DataFrame, side: DataFrame, least: int) -> DataFrame:
         alike[1:] = common(after[order][1:], after[order][:-1]) >= reach
         run = np.cumsum(~alike) - 1
         by = np.lexsort((places[order], ids[order], run))  # the first of each run
-        head = order[by[np.concatenate([[True], run[by][1:] != run[by][:-1]])]]
+        head = order[by[fresh(run[by])]]
         first = np.empty(n, np.int64)
         first[order] = head[run]
         back = common(before, before[first])
         ahead = common(after, after[first])
         ends = np.cumsum([len(ex.unpack(x, np.bool_)) for x in read["several"]])
         starts = np.concatenate([[0], ends[:-1]])
+        owners = smallest(
+            [ex.unpack_sorted(x) for x in column(asked, "stretches").to_pylist()],
+            [ex.unpack(x, np.int64) for x in column(asked, "owners").to_pylist()])
         packed = []
-        for a, b in zip(starts, ends, strict=True):
+        for a, b, owner in zip(starts, ends, owners, strict=True):
             told = [x for i in range(a, b) if several[i] for x in (left[first[i]], right[first[i]])]
             packed.append(pack_parts(
                 ex.pack(ids[first[a:b]]), ex.pack(back[a:b].astype(np.uint16)),
-                ex.pack(ahead[a:b].astype(np.uint16)), squeeze(told)))
+                ex.pack(ahead[a:b].astype(np.uint16)), squeeze(told), ex.pack(owner)))
         return pa.table({
             "bucket": column(asked, "bucket"),
             "kind": pa.array([FIRSTS] * len(packed), pa.int32()),
@@ -143,6 +176,16 @@ def first_suffixes(frame: DataFrame, side: DataFrame, least: int) -> DataFrame:
     return side.unionByName(asked.groupBy("shard").applyInArrow(answer, SIDE))
 
 
+def smallest(keys: list[np.ndarray], ids: list[np.ndarray]) -> list[np.ndarray]:
+    """For each list of keys, the smallest id that any list has for each of them."""
+    every, owner = np.concatenate(keys), np.concatenate(ids)
+    order = np.lexsort((owner, every))
+    new = fresh(every[order])
+    out = np.empty(len(every), np.int64)
+    out[order] = owner[order[new]][np.cumsum(new) - 1]
+    return np.split(out, np.cumsum([len(k) for k in keys])[:-1])
+
+
 def pack_parts(*parts: bytes) -> bytes:
     sizes = np.array([len(p) for p in parts], "<u4").tobytes()
     return sizes + b"".join(parts)
@@ -182,14 +225,14 @@ def spans_of(docs: pa.Table, side: pa.Table, least: int) -> tuple[Words, np.ndar
     w, at, hashes = shared(docs, side, least)
     gone_from, gone_to = [], []
     told = [r for r in side.select(["kind", "shard", "payload"]).to_pylist() if r["kind"] == FIRSTS]
-    told = [unpack_parts(r["payload"], 4) for r in sorted(told, key=lambda r: r["shard"])]
+    told = [unpack_parts(r["payload"], 5) for r in sorted(told, key=lambda r: r["shard"])]
     if told:
         firsts = np.concatenate([ex.unpack(x[0], np.int64) for x in told])
         back = np.concatenate([ex.unpack(x[1], np.uint16) for x in told]).astype(np.int64)
         ahead = np.concatenate([ex.unpack(x[2], np.uint16) for x in told]).astype(np.int64)
         texts = iter([y for x in told for y in spread(x[3])])
         ids = ids_of(docs)[w.texts[at]]
-        begin = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        begin = np.flatnonzero(fresh(hashes))
         for r, (a, b) in enumerate(zip(begin, [*begin[1:], len(at)], strict=True)):
             if ids[a] > firsts[r] and back[r] + ahead[r] >= least:
                 gone_from.append(at[a] - back[r])
@@ -205,6 +248,11 @@ def spans_of(docs: pa.Table, side: pa.Table, least: int) -> tuple[Words, np.ndar
                     if l + m >= least:
                         gone_from.append(at[i] - l)
                         gone_to.append(at[i] + m)
+        starts, found = stretches(w, at, least)
+        owner = np.concatenate([ex.unpack(x[4], np.int64) for x in told])
+        earlier = owner[np.unique(found, return_inverse=True)[1]] < ids_of(docs)[w.texts[starts]]
+        gone_from += starts[earlier].tolist()
+        gone_to += (starts[earlier] + least).tolist()
     gone = covered(len(w.flat), np.array(gone_from, np.int64), np.array(gone_to, np.int64))
     skipped = ex.copy_keys(side)
     for t, key in enumerate(column(docs, "key").to_pylist()):
