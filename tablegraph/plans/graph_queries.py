@@ -426,7 +426,7 @@ _DCAT_SQL = duck_quads(q(EX + "graph/dcat-metadata"), [
         (_D, V.DCAT + "keyword", "'region ' || n_regionkey", {"lang": "en"}),
         (_D, V.DCAT + "keyword", "n_name", {"lang": "en"}),
         (_D, V.DCT + "creator", "'Author, ' || n_name", {}),
-        (_D, V.DCAT + "theme", q(publish.THEME_BASE + "ENER"), {"kind": "iri"}),
+        (_D, V.DCAT + "theme", q(publish.THEMES["ENER – Energy"]), {"kind": "iri"}),
     ]])
 
 

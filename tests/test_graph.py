@@ -305,7 +305,7 @@ def test_catalogue(spark):
     d = G + "dataset/main"
     size = sum(len(r.value.encode()) + 1 for r in out.nquad_lines(q).collect())
     assert (G + "distribution/main", V.DCAT + "byteSize", str(size)) in got
-    assert {o for s, p, o in got if p == V.DCAT + "theme"} == {publish.THEME_BASE + "ENER"}
+    assert {o for s, p, o in got if p == V.DCAT + "theme"} == {publish.THEMES["ENER – Energy"]}
     assert {o for s, p, o in got if p == V.DCAT + "keyword"} == {"k1", "k2"}
     assert (d, V.DCT + "license", "http://creativecommons.org/publicdomain/zero/1.0/") in got
     assert {o for s, p, o in got if p == V.VCARD + "hasEmail"} == {"a@b.c"}
