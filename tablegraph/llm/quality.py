@@ -2,12 +2,17 @@
 
 Base rules (too few words, too many repeated word triples) hold for every text. Beyond them, four
 ratios (symbols, repeated lines, repeated triples, word length) have fixed grids of cutoffs. For each
-stratum (language) and ratio the labelled good documents that pass the base rules are a holdout: a
-cutoff may be used if the exact binomial test rejects, at the corrected level, that it turns away more
-than its share of the allowed rate of good documents. Cutoffs are tested from lax to strict until one
-fails (fixed sequence), and the level is divided by the number of strata and ratios (Bonferroni), so
-all chosen cutoffs hold together with probability ``1 - delta``. A stratum with too few labels keeps
-the base rules only.
+stratum (language) the labelled good documents that pass the base rules are a holdout: cutoffs may be
+used if the exact binomial test rejects, at the corrected level, that they turn away more than the
+allowed rate of good documents. Cutoffs are tested from lax to strict until one fails (fixed sequence).
+
+The size of the holdout alone chooses between two ways, so either keeps its level. Where it is large
+enough for a test of each ratio by itself (1,196 good documents at the default risk and delta), every
+ratio has its own sequence at its share of rate and level. Below that all ratios move together, in turn
+by one step, along one sequence of joint rules, and the rate that all of them turn away is tested at the
+whole risk (from 228 good documents). The level is divided by the number of strata (Bonferroni), so all
+chosen cutoffs hold together with probability ``1 - delta``. With fewer labels than that even no good
+document turned away proves nothing, and a stratum keeps the base rules only.
 
 Everything is DataFrame expressions: a text's counts are one expression over its words, holdouts are
 one grouped aggregate, and the table of cutoffs (strata times ratios, a fixed number) is broadcast.
@@ -19,6 +24,7 @@ results. Other columns pass through; an added column replaces one of its name.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import log, pi
 
 from pyspark.sql import Column, DataFrame
@@ -151,25 +157,53 @@ def cutoffs(found: DataFrame, labels: DataFrame, risk: float, delta: float) -> D
     """
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
     held = found.where(~base_failed()).join(good.select(F.col("doc_id").alias("id")), "id")
+    steps = joint_steps()
     tests = [
-        F.count_if(ratio(name) > cut).alias(f"{name}_{i}")
-        for name, grid in GRIDS.items() for i, cut in enumerate(grid)
+        F.array(*[F.count_if(ratio(name) > cut) for cut in grid]).alias(f"n_{name}")
+        for name, grid in GRIDS.items()
     ]
-    held = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *tests)
-    level = delta / ((len(LANGUAGES) + 1) * len(GRIDS))
-    chosen = []
-    for name, grid in GRIDS.items():
-        # The strictest cutoff before the first that fails.
-        passed, cut = F.lit(True), F.lit(None).cast("double")
-        for i, value in enumerate(grid):
-            passed = passed & (F.col(f"p_{name}_{i}") <= level)
-            cut = F.when(passed, F.lit(value)).otherwise(cut)
-        chosen.append(cut.alias(f"cut_{name}"))
-    levels = [
-        at_most(F.col(f"{name}_{i}"), F.col("n"), risk / len(GRIDS)).alias(f"p_{name}_{i}")
-        for name, grid in GRIDS.items() for i in range(len(grid))
-    ]
-    return held.select("stratum", *levels).select("stratum", *chosen)
+    together = F.array(*[F.count_if(beyond(step)) for step in steps]).alias("n_joint")
+    held = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *tests, together)
+    level = delta / (len(LANGUAGES) + 1)
+    own_risk, own_level = risk / len(GRIDS), level / len(GRIDS)
+    # Whether a ratio that turns no good document away could pass by itself.
+    alone = at_most(F.lit(0), F.col("n"), own_risk) <= own_level
+    passed = held.select(
+        "stratum", alone.alias("alone"), passes("n_joint", risk, level),
+        *[passes(f"n_{name}", own_risk, own_level) for name in GRIDS])
+    return passed.select("stratum", *[
+        F.when(F.col("alone"), strictest(f"n_{name}", grid))
+        .otherwise(strictest("n_joint", [step.get(name) for step in steps])).alias(f"cut_{name}")
+        for name, grid in GRIDS.items()
+    ])
+
+
+def passes(counts: str, risk: float, level: float) -> Column:
+    """How many tests pass, from lax to strict, before the first that fails, from their counts."""
+    failed = F.transform(counts, lambda k: at_most(k, F.col("n"), risk) > level)
+    first = F.array_position(failed, True)
+    return F.when(first > 0, first - 1).otherwise(F.size(failed)).cast("int").alias(counts)
+
+
+def strictest(passed: str, values) -> Column:
+    """The value of the last test that passes; null if there is none."""
+    return F.get(F.array(*[F.lit(v).cast("double") for v in values]), F.col(passed) - 1)
+
+
+def joint_steps() -> list[dict[str, float]]:
+    """Cutoffs of all ratios from lax to strict: each step moves one ratio, in turn, to its next."""
+    steps, at = [], {}
+    for i in range(max(map(len, GRIDS.values()))):
+        for name, grid in GRIDS.items():
+            if i < len(grid):
+                at = at | {name: grid[i]}
+                steps.append(at)
+    return steps
+
+
+def beyond(step: dict[str, float]) -> Column:
+    """Whether any ratio lies beyond its cutoff."""
+    return reduce(Column.__or__, [F.coalesce(ratio(n) > cut, F.lit(False)) for n, cut in step.items()])
 
 
 def judged(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id",

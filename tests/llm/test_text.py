@@ -135,6 +135,25 @@ def test_cutoffs_keep_their_promise(spark):
     assert all(r.kept for r in quality.judged(docs, few).collect())  # too few labels: base rules only
 
 
+def test_cutoffs_of_languages_with_few_labels(spark):
+    """From 228 good documents on junk goes, and the good ones that all ratios turn away stay few."""
+    plain = {"de": 228, "fr": 227, "es": 400}
+    rows = [(k * 10000 + i, " ".join(f"w{i}x{j}" for j in range(60)), lang, 1)
+            for k, (lang, n) in enumerate(plain.items()) for i in range(n)]
+    for k, lang in enumerate(plain):
+        rows += [(k * 10000 + 9000 + i, " ".join(["#$%&"] * 30 + [f"v{i}x{j}" for j in range(40)]), lang, 0)
+                 for i in range(20)]
+    # Good documents in Spanish with words of more than 12 letters: no cutoff of the length holds.
+    rows += [(28000 + i, " ".join(f"longlonglongword{i}x{j}" for j in range(60)), "es", 1) for i in range(40)]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, quality int")
+    gone = Counter()
+    got = {r.doc_id: r.kept for r in quality.judged(docs, labels).collect()}
+    for i, _, lang, good in rows:
+        gone[lang, good] += not got[i]
+    assert gone == {("de", 0): 20, ("de", 1): 0, ("fr", 0): 0, ("fr", 1): 0, ("es", 0): 20, ("es", 1): 0}
+
+
 @pytest.mark.parametrize("k, n, rate", [(0, 500, 0.01), (2, 800, 0.005), (40, 20000, 0.005), (7, 7, 0.5)])
 def test_binomial_tail(spark, k, n, rate):
     from math import comb
