@@ -52,10 +52,13 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix draws it."""
-    mix = mixing.mixed(docs, carry=docs.columns)
-    return mix.where(F.size("shards") > 0).select(
-        *columns_of(docs), F.explode("shards").alias("_shard")).select(*columns_of(docs))
+    """Each document as often as the mix draws it, by output shard and shuffled inside it."""
+    named = ("doc_id", "text")
+    # The other columns travel in a struct, so that none meets a column of the mix.
+    rest = F.struct(*[quoted(c) for c in docs.columns if c not in named]).alias("_rest")
+    mix = mixing.mixed(docs.select(*named, "source", rest), carry=[*named, "_rest"])
+    return mixing.written(mix).select(
+        *[quoted(c) if c in named else F.col("_rest").getField(c).alias(c) for c in docs.columns])
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

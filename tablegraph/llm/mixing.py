@@ -270,9 +270,13 @@ def mixed(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         (F.col("size") * F.size("shards")).alias("taken"), "shards")
 
 
-def written(mix: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The mix itself: a row for each draw, by shard and shuffled inside it."""
+def written(mix: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The mix itself: a row for each draw, by shard and shuffled inside it.
+
+    The hash has the text too, where the mix carries it, so that rows without an id are spread as well.
+    """
     rows = mix.select("*", F.posexplode("shards").alias("pass", "shard")).drop("shards")
-    key = seed("shuffle", F.xxhash64(quoted(id_col)), "pass")
-    return rows.withColumn("_turn", key).repartition("shard", F.pmod("_turn", F.lit(64))) \
+    named = [quoted(c) for c in (id_col, text_col) if c in mix.columns]
+    return rows.withColumn("_turn", seed("shuffle", F.xxhash64(*named), "pass")) \
+        .repartition("shard", F.pmod("_turn", F.lit(64))) \
         .sortWithinPartitions("shard", "_turn").drop("_turn")

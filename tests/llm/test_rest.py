@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tablegraph.llm import bpe, chat, language, media, mixing, urls
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -130,6 +131,32 @@ def test_quotas_are_exact(spark):
     assert max(by_node.values()) - min(by_node.values()) <= 3
 
 
+def test_written_leaves_hold_their_quotas(spark, monkeypatch):
+    rng, split, quotas = random.Random(8), mixing.split_quotas, []
+    given = [(i if i % 9 else None, f"u{i} " + " ".join("w" * rng.randrange(1, 9) for _ in range(rng.randrange(60))),
+              ("a", "b", "é", None)[i % 4]) for i in range(600)]
+    table = spark.createDataFrame(given, "doc_id long, text string, source string")
+    monkeypatch.setattr(mixing, "BLOCKS", 1 << 30)  # a block for each document: draws are rows
+
+    def kept(*given):
+        quotas.append(split(*given))
+        return quotas[-1]
+
+    monkeypatch.setattr(mixing, "split_quotas", kept)
+    mix = mixing.mixed(table)
+    out = mixing.written(mix)
+    places = out.withColumn("part", F.spark_partition_id()).collect()
+    want = {(r.node, r.source): r.quota for r in quotas[0].collect() if r.quota}
+    assert Counter((r.shard, r.source) for r in places) == want
+    # The pipeline's stage writes these rows in this order.
+    stage = corpus_pipeline.mix_sources(spark, table, "")
+    assert stage.columns == table.columns
+    shown = [(r.part, r.doc_id, r.text, r.source) for r in places]
+    assert [tuple(r) for r in stage.select(F.spark_partition_id(), *stage.columns).collect()] == shown
+    for a, b in zip(places, places[1:]):
+        assert a.part != b.part or a.shard <= b.shard
+
+
 def test_urls(spark):
     given = ["http://A.Example.com/x/?b=2&a=1&utm_src=q#f", "https://www.a.example.com:443/x?a=1&b=2", None, "",
              "no scheme", "http://x.org", "http://x.org/a", "http://example.org/es/1", "http://notexample.org/es/1",
