@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tablegraph import vocab as V
 from tablegraph.functions.text import hyperlink_cell, local_name
+from tablegraph.operators.positions import global_positions
 from tablegraph.operators.prefixes import distinct_namespaces
 from tablegraph.operators.reshape import expand_multi_values, value_positions
 
@@ -300,26 +301,19 @@ def group_by_subject_report(quads: DataFrame) -> DataFrame:
     )
 
 
-def namespace_listing(quads: DataFrame, shown: int = 20) -> DataFrame:
-    """``ord, namespace, remaining``: the first namespaces and how many more there are."""
+def namespace_listing(quads: DataFrame, shown: int | None = None) -> DataFrame:
+    """``ord, namespace, remaining``: all namespaces, or the first ``shown`` and how many more there are."""
     spaces = distinct_namespaces(quads)
-    total = spaces.agg(F.count(F.lit(1)).alias("n"))
-    first = spaces.orderBy("namespace").limit(shown)
-    # At most ``shown`` rows from here on.
-    numbered = first.withColumn("ord", F.rank().over(_over_few("namespace")))
-    return numbered.crossJoin(F.broadcast(total)).select(
-        F.col("ord").cast("int").alias("ord"), "namespace",
-        F.greatest(F.col("n") - shown, F.lit(0)).alias("remaining"),
+    numbered = global_positions(spaces, ["namespace"], "ord")
+    rows = numbered.select(F.col("ord").cast("int").alias("ord"), "namespace")
+    if shown is None:
+        return rows.withColumn("remaining", F.lit(0).cast("long"))
+    total = numbered.agg(F.count(F.lit(1)).alias("n"))
+    return rows.where(F.col("ord") <= shown).crossJoin(F.broadcast(total)).select(
+        "ord", "namespace", F.greatest(F.col("n") - shown, F.lit(0)).alias("remaining"),
     )
 
 
-def _over_few(column: str):
-    """Window over a frame already cut to a handful of rows."""
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0)).orderBy(column)
-
-
 def metadata_report(quads: DataFrame) -> DataFrame:
     """``section, key, value`` rows: statistics, catalogue, publications, namespaces, properties."""
     stats = graph_statistics(quads)

@@ -224,6 +224,16 @@ def test_statistics_and_links(spark):
     assert table_view.main_subjects(plain).count() == 2
 
 
+def test_report_lists_all_namespaces(spark):
+    spaces = [f"http://n{i:03d}.example.org/" for i in range(60)]
+    q = spark.createDataFrame([(G, s + "a", "iri", s + "p", "v", "lit", None, None) for s in spaces],
+                              quads.QUAD_SCHEMA)
+    report = table_view.metadata_report(q).where("section = 'namespaces'").collect()
+    assert sorted((r.key, r.value) for r in report) == sorted((f"ns{i + 1}", s) for i, s in enumerate(spaces))
+    first = table_view.namespace_listing(q, 20).collect()
+    assert sorted(map(tuple, first)) == [(i + 1, s, 40) for i, s in enumerate(spaces[:20])]
+
+
 def test_prefixes(spark):
     cat = spark.createDataFrame(
         [("http://x.org/obo/", "obo", 1), ("http://x.org/obo/", "go", 2),
