@@ -15,6 +15,7 @@ A member can share too little with the run's first suffix and enough with a late
 settles that: of each stretch of ``least`` words that holds a shared suffix, buckets send the hash and
 their smallest id, shards answer the smallest of all, and every stretch of an earlier document goes. So
 a word goes just if a window of ``least`` words around it is also in a document of smaller id.
+These hashes decide: what the extension finds lies in such stretches, and whole copies aside it adds no word.
 
 A whole-text copy of an earlier document with at least ``least`` words loses them all. Repeats inside
 one document stay. Null texts have no words; rows with a null id neither lose nor take words. Equal
