@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tablegraph.llm import bpe, chat, jaccard, language, media, mixing, phrases, quality, suffixes, urls
+from tablegraph.llm import bpe, chat, divergence, jaccard, language, media, mixing, phrases, quality, suffixes, urls
 from tablegraph.llm.frame import tuned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -254,4 +254,51 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language.identified(rows, docs.select("text", "lang"))
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query(rf"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS id,
+    regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
+),
+w AS (SELECT lang, source, id, unnest(ws) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+full_c AS (
+  SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n FROM g JOIN kept USING (lang)
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term
+),
+p AS (
+  SELECT *, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p
+  FROM full_c JOIN v USING (lang)
+),
+tot AS (SELECT lang, term, sum(n) AS n FROM full_c GROUP BY lang, term),
+q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q
+  FROM tot JOIN v USING (lang)
+),
+f AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+),
+rows_of AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+  FROM rows_of)
+WHERE part = 'pair' OR rank <= 50
+""")
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audited(documents(spark, folder, "text", "lang", "source"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run

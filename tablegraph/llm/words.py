@@ -63,6 +63,43 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
     return Words(offsets, flat, hashes, np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)))
 
 
+def cut(texts: pa.Array, kinds: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words by a table of UTF-8 bytes: the text of each, the piece that it lies in, the words.
+
+    ``kinds`` says of each byte value whether it is part of a word (0), ends it (1), or ends a piece
+    of text too (2); ``letters`` is what the byte is written as. Null texts have no words.
+    """
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    data = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if data else np.zeros(0, np.uint8)
+    edges = edges - edges[0]
+    kind = kinds[data]
+    inside = kind == 0
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    heads = edges[:-1][edges[:-1] < len(data)]
+    begins[heads] = inside[heads]
+    starts = np.flatnonzero(begins)
+    kept = letters[data[inside]]
+    offsets = np.append(np.cumsum(inside)[starts] - 1, len(kept)).astype(np.int64)
+    flat = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(kept))
+    of = np.searchsorted(edges, starts, side="right") - 1
+    ends = kind == 2
+    return of, np.cumsum(ends)[starts] + of, flat
+
+
+def byte_tables(gaps, ends=()) -> tuple[np.ndarray, np.ndarray]:
+    """Tables for :func:`cut`, with A to Z in lower case."""
+    kinds, letters = np.zeros(256, np.uint8), np.arange(256, dtype=np.uint8)
+    kinds[list(gaps)] = 1
+    kinds[list(ends)] = 2
+    letters[0x41:0x5B] += 32
+    return kinds, letters
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> HALF)
     x = x * MIX
