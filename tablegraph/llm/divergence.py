@@ -33,8 +33,8 @@ from tablegraph.session import checkpoint
 SOURCES_PER_ROW = 64
 TILE = 512
 # Counts above zero in a block, and rows of counts that a task adds up before it passes them on.
-BLOCK_BITS = 18
-HELD = 1_000_000
+BLOCK_BITS = 14
+HELD = 500_000
 
 TABLES = words.byte_tables([*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 COUNTED = "lang string, source string, term string, df long, n long"
@@ -102,7 +102,10 @@ def counted(batch: pa.RecordBatch):
 
 
 def term_counts(texts: DataFrame) -> DataFrame:
-    """``lang, source, term, df, n`` over all documents, from distinct texts."""
+    """``lang, source, term, df, n`` over all documents, from distinct texts, dealt by language and term.
+
+    A term has at most as many rows in the shuffle as tasks times sources.
+    """
 
     def run(batches):
         held, size = [], 0
@@ -125,8 +128,9 @@ def term_counts(texts: DataFrame) -> DataFrame:
             table = table.set_column(i, name, table.column(name).cast(pa.string()))
         return table.to_batches(max_chunksize=10_000)
 
-    return texts.mapInArrow(run, COUNTED).groupBy("lang", "source", "term").agg(
-        F.sum("df").alias("df"), F.sum("n").alias("n"))
+    # Tasks have added up already; one shuffle by term serves the sums by source and by language.
+    dealt = texts.mapInArrow(run, COUNTED).repartition("lang", "term")
+    return dealt.groupBy("lang", "source", "term").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
@@ -149,10 +153,10 @@ def audited(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
     given = docs.select(
         F.coalesce(quoted(lang_col), blank).alias("lang"), F.coalesce(quoted(source_col), blank).alias("source"),
         F.coalesce(quoted(text_col), blank).alias("text"))
-    counts = checkpoint(term_counts(distinct_texts(given)))
-    terms = counts.groupBy("lang", "term").agg(F.sum("df").alias("df"), F.sum("n").alias("total")).where(
-        F.col("df") >= least).select("lang", "term", "total")
-    kept = checkpoint(counts.select("lang", "source", "term", "n").join(terms, ["lang", "term"]))
+    whole = Window.partitionBy("lang", "term")
+    kept = checkpoint(term_counts(distinct_texts(given)).select(
+        "lang", "source", "term", "n", F.sum("df").over(whole).alias("df"),
+        F.sum("n").over(whole).alias("total")).where(F.col("df") >= least).drop("df"))
     langs = kept.select("lang", "term", "total").distinct().groupBy("lang").agg(
         F.count(F.lit(1)).alias("v"), F.sum("total").alias("lang_n"))
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("source_n"), F.count(F.lit(1)).alias("filled"))
