@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tablegraph.llm import bpe, chat, divergence, jaccard, language, media, mixing, phrases, quality, suffixes, urls
+from tablegraph.llm import bpe, chat, collocations, divergence, jaccard, language, media, mixing, phrases, quality, suffixes, urls
 from tablegraph.llm.frame import tuned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -301,4 +301,48 @@ def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audited(documents(spark, folder, "text", "lang", "source"))
 
 
+@query(rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (
+  SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, m
+  FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, range(1, 5) AS r(m))
+),
+f AS (SELECT lang, phrase, m, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, count(*) AS n FROM g WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, m, a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1),
+parts AS (
+  SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS x, array_to_string(ws[k + 1:m], ' ') AS y
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c)
+),
+cuts AS (
+  SELECT p.lang, p.phrase, p.a, p.k, x.a AS l, y.a AS r, (2000000::HUGEINT * p.a) // (x.a + y.a) AS score
+  FROM parts p JOIN f x ON x.lang = p.lang AND x.phrase = p.x JOIN f y ON y.lang = p.lang AND y.phrase = p.y
+),
+least AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+),
+inner_phrases AS (
+  SELECT lang, a, array_to_string(ws[i:j], ' ') AS phrase
+  FROM (SELECT *, unnest(range(i + 1, m + 1)) AS j FROM (SELECT *, unnest(range(1, m)) AS i FROM c WHERE m > 2))
+  WHERE j - i + 1 < m
+),
+gone AS (
+  SELECT DISTINCT c.lang, c.phrase FROM c JOIN inner_phrases b ON b.lang = c.lang AND b.phrase = c.phrase
+  WHERE 100::HUGEINT * b.a >= 80::HUGEINT * c.a
+),
+ranked AS (
+  SELECT lang, phrase, a, l, r, score,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM least ANTI JOIN gone USING (lang, phrase)
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
+""")
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mined(documents(spark, folder, "doc_id", "text", "lang"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
