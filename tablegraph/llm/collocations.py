@@ -65,38 +65,37 @@ class Automaton:
         self.states, self.arcs = states, arcs
 
     @classmethod
-    def built(cls, labels: list[str], paths, weights) -> Automaton:
-        """From sorted paths of label numbers, by freezing what the next path doesn't share."""
+    def built(cls, labels: list[str], paths: np.ndarray, weights: np.ndarray) -> Automaton:
+        """From sorted paths of label numbers (rows, -1 after the end), freezing what the next doesn't share."""
         known: dict = {}
-        states: list[tuple[int, int]] = []
-        arcs: list[tuple[int, int]] = []
-        open_weights, open_arcs, last = [0], [[]], []
-
-        def freeze(depth: int) -> None:
-            while len(last) > depth:
-                state = (open_weights.pop(), *open_arcs.pop())
+        states: list[int] = []  # weight, number of arcs
+        arcs: list[int] = []  # label, target
+        lengths = (paths >= 0).sum(axis=1)
+        shared = np.zeros(len(paths) + 1, np.int64)
+        shared[1:-1] = np.cumprod(paths[1:] == paths[:-1], axis=1).sum(axis=1)
+        # The open states: the label that leads to each, its weight, the arcs that leave it so far.
+        size = paths.shape[1] + 1
+        label, weight, leaving, depth = [0] * size, [0] * size, [[] for _ in range(size)], 0
+        ends = [*zip(paths.tolist(), lengths.tolist(), weights.tolist(), strict=True), ((), 0, 0)]
+        for (path, length, count), same in zip(ends, shared.tolist(), strict=True):
+            while depth > same:
+                own = leaving[depth]
+                state = (weight[depth], *own) if own else weight[depth]
                 at = known.get(state)
                 if at is None:
-                    at = known[state] = len(states)
-                    states.append((state[0], len(state) - 1))
-                    arcs.extend(state[1:])
-                open_arcs[-1].append((last.pop(), at))
-
-        for path, weight in zip(paths, weights, strict=True):
-            same = 0
-            for x, y in zip(last, path):
-                if x != y:
-                    break
-                same += 1
-            freeze(same)
-            for x in path[same:]:
-                last.append(x)
-                open_weights.append(0)
-                open_arcs.append([])
-            open_weights[-1] = weight
-        freeze(0)
-        states.append((open_weights[0], len(open_arcs[0])))
-        arcs.extend(open_arcs[0])
+                    at = known[state] = len(states) // 2
+                    states += (weight[depth], len(own) // 2)
+                    arcs += own
+                if own:
+                    leaving[depth] = []
+                leaving[depth - 1] += (label[depth], at)
+                depth -= 1
+            while depth < length:
+                depth += 1
+                label[depth], weight[depth] = path[depth - 1], 0
+            weight[depth] = count
+        states += (0, len(leaving[0]) // 2)
+        arcs += leaving[0]
         return cls(labels, np.array(states, np.int64).reshape(-1, 2), np.array(arcs, np.int64).reshape(-1, 2))
 
     def packed(self) -> tuple[list[str], bytes, bytes]:
@@ -224,12 +223,13 @@ def automata(paths: np.ndarray, weights: np.ndarray, owners: np.ndarray, langs:
         used = np.unique(own[:, 1:])
         used = used[used >= 0]
         rows = np.where(own[:, 1:] >= 0, np.searchsorted(used, own[:, 1:]) + len(langs), -1)
-        rows = np.column_stack([own[:, 0], rows]).tolist()
-        lengths = (own >= 0).sum(axis=1).tolist()
         # No word has a line feed, so a language never looks like a word.
         labels = ["\n" + x for x in langs] + [vocabulary[i] for i in used.tolist()]
-        yield int(owners[a]), Automaton.built(
-            labels, (r[:n] for r, n in zip(rows, lengths, strict=True)), weights[a:b].tolist())
+        yield int(owners[a]), Automaton.built(labels, np.column_stack([own[:, 0], rows]), weights[a:b])
+
+
+def nothing() -> Automaton:
+    return Automaton.built([], np.zeros((0, LONGEST + 1), np.int64), np.zeros(0, np.int64))
 
 
 def listed(automaton: Automaton) -> pa.Table:
@@ -384,7 +384,7 @@ def united(shards: DataFrame, ranges: int, least: int) -> DataFrame:
         owner = got["owner"][0].as_py()
         made = [a.packed() for _, a in automata(
             own.paths, whole["weight"].to_numpy(), np.zeros(whole.num_rows, np.int64), own.langs, own.words)]
-        made = made or [Automaton.built([], [], []).packed()]
+        made = made or [nothing().packed()]
         return pa.table({
             "owner": pa.array([owner], pa.int32()),
             "langs": pa.array([sums["lang"].to_pylist()], pa.list_(pa.string())),
@@ -423,7 +423,7 @@ def with_parts(total: DataFrame, ranges: int) -> DataFrame:
 
     def compose(own: pa.Table, requests: pa.Table) -> pa.Table:
         rows = requests.to_pylist()
-        mine = read(own.to_pylist()[0]) if own.num_rows else Automaton.built([], [], [])
+        mine = read(own.to_pylist()[0]) if own.num_rows else nothing()
         return pa.table({
             "asker": pa.array([r["asker"] for r in rows], pa.int32()),
             "owner": pa.array([r["owner"] for r in rows], pa.int32()),

@@ -84,11 +84,12 @@ def cut(texts: pa.Array, kinds: np.ndarray, letters: np.ndarray) -> tuple[np.nda
     begins[heads] = inside[heads]
     starts = np.flatnonzero(begins)
     kept = letters[data[inside]]
-    offsets = np.append(np.cumsum(inside)[starts] - 1, len(kept)).astype(np.int64)
+    goes_on = np.append(inside[1:] & ~begins[1:], False) if len(data) else inside
+    lengths = np.flatnonzero(inside & ~goes_on) - starts + 1
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
     flat = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(kept))
     of = np.searchsorted(edges, starts, side="right") - 1
-    ends = kind == 2
-    return of, np.cumsum(ends)[starts] + of, flat
+    return of, np.searchsorted(np.flatnonzero(kind == 2), starts) + of, flat
 
 
 def byte_tables(gaps, ends=()) -> tuple[np.ndarray, np.ndarray]:
