@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tablegraph.llm import bpe, chat, collocations, divergence, jaccard, language, media, mixing, phrases, quality, suffixes, urls
+from tablegraph.llm import bpe, chat, collocations, divergence, jaccard, language, media, mixing, phrases, pii, quality, suffixes, urls
 from tablegraph.llm.frame import tuned
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -345,4 +345,13 @@ def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.mined(documents(spark, folder, "doc_id", "text", "lang"))
 
 
+@query()
+def op12_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder, "doc_id", "text")
+    field = pii.trained(pii.labelled(spark, docs))
+    return pii.found(docs, field).select(
+        "doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("rule_spans", 256).alias("base_sha256"), "spans",
+        F.col("rule_spans").alias("base_spans"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
