@@ -6,7 +6,7 @@ import __spark_entry__ as entry_points
 import corpus_pipeline
 from tests.conftest import SF_SMALL
 
-NAMES = {"pipeline", *[f"op{n}_" for n in range(1, 11)]}
+NAMES = {"pipeline", *[f"op{n}_" for n in range(1, 14)]}
 
 
 def test_registered():
