@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
+from tablegraph.llm.frame import tuned
+
 # Words that the scan handles; and encoded words that a worker keeps.
 SCAN = 64
 KEPT = 400_000
@@ -68,27 +70,36 @@ def known_classes(pattern: str) -> str:
     return pattern
 
 
-def merge_short(parts: list[str], rank: dict) -> list[str]:
-    """Merge by scanning the array of adjacent ranks."""
-    none = len(rank)
-    text, bounds, at = "".join(parts), [0], 0
-    for p in parts:
-        at += len(p)
-        bounds.append(at)
-    get = rank.get
-    ranks = [get((a, b), none) for a, b in zip(parts, parts[1:])]
-    while ranks:
-        least = min(ranks)
+def latin_classes(pattern: str) -> str:
+    """The pattern for the standard library's matcher and texts below U+0250, with its classes spelt out."""
+    below = [chr(c) for c in range(0x250)]
+    for kind in (r"\p{L}", r"\p{N}", r"\s"):
+        own = regex.compile(f"[{kind}]", regex.V1)
+        pattern = pattern.replace(kind, "".join(f"\\u{ord(c):04x}" for c in below if own.match(c)))
+    return pattern
+
+
+def merge_short(parts: list[int], merges: dict[int, int], ranks: dict[int, int], size: int) -> list[int]:
+    """Merge by scanning the array of adjacent ranks.
+
+    ``parts`` numbers the symbol behind each boundary; a pair's key is ``first * size + second``, so a merge
+    deletes one boundary and looks up the two keys that touch it.
+    """
+    none = len(ranks)
+    get = ranks.get
+    near = [get(a * size + b, none) for a, b in zip(parts, parts[1:])]
+    while near:
+        least = min(near)
         if least == none:
             break
-        i = ranks.index(least)
-        del bounds[i + 1], ranks[i]
+        i = near.index(least)
+        parts[i] = merges[parts[i] * size + parts[i + 1]]
+        del parts[i + 1], near[i]
         if i:
-            ranks[i - 1] = get((text[bounds[i - 1] : bounds[i]], text[bounds[i] : bounds[i + 1]]), none)
-        if i < len(ranks):
-            ranks[i] = get(
-                (text[bounds[i] : bounds[i + 1]], text[bounds[i + 1] : bounds[i + 2]]), none)
-    return [text[a:b] for a, b in zip(bounds, bounds[1:])]
+            near[i - 1] = get(parts[i - 1] * size + parts[i], none)
+        if i < len(near):
+            near[i] = get(parts[i] * size + parts[i + 1], none)
+    return parts
 
 
 def merge_long(parts: list[str], rank: dict) -> list[str]:
@@ -125,35 +136,41 @@ class Codec:
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.rank = {tuple(m): i for i, m in enumerate(pairs)}
         self.suffix = model["end_of_word_suffix"]
+        # Symbols by number, so that a pair is one integer.
+        self.size = max(self.vocab.values()) + 1
+        self.ranks = {self.vocab[a] * self.size + self.vocab[b]: i for (a, b), i in self.rank.items()}
+        self.merges = {self.vocab[a] * self.size + self.vocab[b]: self.vocab[a + b] for a, b in self.rank}
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.added = added
         self.tokens = {i: t for t, i in (self.vocab | added).items()}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(known_classes(split["pattern"]["Regex"]), regex.V1)
+        pattern = split["pattern"]["Regex"]
+        self.words = regex.compile(known_classes(pattern), regex.V1)
+        self.latin = re.compile(latin_classes(pattern))
+        self.beyond_latin = re.compile(r"[^\x00-\u024f]")
         self.specials = regex.compile(
             "(" + "|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True)) + ")"
         ) if added else None
         self.letters = byte_letters()
-        self.odd_gaps = re.compile(r"[\x1c-\x1f]")
+        self.inner = [self.vocab[x] for x in self.letters]
+        self.last = [self.vocab[x + self.suffix] for x in self.letters]
         self.odd_capitals = re.compile("[" + "".join(map(chr, LOWER)) + "]")
-        self.gaps = regex.compile(r"\s+")
         self.kept: dict[str, tuple[int, ...]] = {}
 
-    def word(self, word: str) -> list[int]:
-        letters = self.letters
-        parts = [letters[b] for b in word.encode("utf-8")]
-        parts[-1] += self.suffix
-        merged = merge_short(parts, self.rank) if len(parts) <= SCAN else merge_long(parts, self.rank)
-        return [self.vocab[p] for p in merged]
-
-    def chunk(self, chunk: str) -> tuple[int, ...]:
-        """Tokens of a stretch without white space; no word of the pattern crosses white space."""
-        got = tuple(i for w in self.words.findall(chunk) for i in self.word(w))
-        if len(chunk) <= SCAN:
+    def word(self, word: str) -> tuple[int, ...]:
+        data = word.encode("utf-8")
+        if len(data) <= SCAN:
+            inner = self.inner
+            parts = [inner[b] for b in data]
+            parts[-1] = self.last[data[-1]]
+            got = tuple(merge_short(parts, self.merges, self.ranks, self.size))
             if len(self.kept) >= KEPT:
                 self.kept.clear()
-            self.kept[chunk] = got
-        return got
+            self.kept[word] = got
+            return got
+        names = [self.letters[b] for b in data]
+        names[-1] += self.suffix
+        return tuple(self.vocab[p] for p in merge_long(names, self.rank))
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
@@ -166,76 +183,85 @@ class Codec:
                 if self.odd_capitals.search(piece):
                     piece = piece.translate(LOWER)
             piece = piece.lower()
-            # str.split also cuts at U+001C to U+001F, which are no white space to the pattern.
-            chunks = self.gaps.split(piece) if self.odd_gaps.search(piece) else piece.split()
-            get = self.kept.get
-            for c in chunks:
-                if c:
-                    got = get(c)
-                    ids += self.chunk(c) if got is None else got
+            # No word of the pattern holds white space.
+            found = (self.words if self.beyond_latin.search(piece) else self.latin).findall(piece)
+            get, word = self.kept.get, self.word
+            for w in found:
+                ids += get(w) or word(w)
         return ids
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-def codec(path: str) -> Codec:
-    """One codec for each file and worker process."""
-    import builtins
-
-    own = builtins.__dict__.setdefault("_bpe_codecs", {})
-    if path not in own:
-        own[path] = Codec(path)
-    return own[path]
-
-
-def mapped(df: DataFrame, source: str, target: str, kind, convert) -> DataFrame:
-    """The rows with ``target`` made from ``source``, a batch at a time."""
-    kept = [f for f in df.schema.fields if f.name != target]
-    schema = StructType([*kept, StructField(target, kind)])
-    names = [f.name for f in kept]
+def mapped(df: DataFrame, path: str, source: str, targets: list[StructField], convert) -> DataFrame:
+    """The rows with ``targets`` made from ``source`` in one pass; a task reads the tokenizer file once."""
+    tuned(df.sparkSession)
+    made = [t.name for t in targets]
+    names = [f.name for f in df.schema.fields if f.name not in made]
+    schema = StructType([*[f for f in df.schema.fields if f.name in names], *targets])
 
     def run(batches):
+        own = Codec(path)
         for batch in batches:
             columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            made = convert(batch.column(batch.schema.get_field_index(source)))
-            yield pa.RecordBatch.from_arrays([*columns, made], names=[*names, target])
+            found = convert(own, batch.column(batch.schema.get_field_index(source)))
+            yield pa.RecordBatch.from_arrays([*columns, *found], names=[*names, *made])
 
     return df.mapInArrow(run, schema)
 
 
+def ids_of(own: Codec, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in one array, and where each text's end."""
+    flat, ends = [], [0]
+    for text in texts.to_pylist():
+        if text:
+            flat += own.encode(text)
+        ends.append(len(flat))
+    return np.array(flat, np.int32), np.array(ends, np.int32)
+
+
+def id_bytes(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Each row's ids as little-endian unsigned 32-bit integers."""
+    data, places = ids.astype("<u4").tobytes(), (4 * ends.astype(np.int64)).tolist()
+    return pa.array([data[a:b] for a, b in zip(places, places[1:])], pa.binary())
+
+
+def texts_of(own: Codec, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    flat, places = ids.tolist(), ends.tolist()
+    return pa.array([own.decode(flat[a:b]) for a, b in zip(places, places[1:])], pa.string())
+
+
 def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Adds the token ids of each whole text as ``array<int>``."""
 
-    def convert(texts):
-        own = codec(path)
-        flat, ends = [], [0]
-        for text in texts.to_pylist():
-            flat += own.encode(text) if text else []
-            ends.append(len(flat))
-        return pa.ListArray.from_arrays(
-            pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int32)))
+    def convert(own, texts):
+        ids, ends = ids_of(own, texts)
+        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))]
 
-    return mapped(df, text_col, ids_col, ArrayType(IntegerType()), convert)
+    return mapped(df, path, text_col, [StructField(ids_col, ArrayType(IntegerType()))], convert)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """Adds the text of each row's ids: the tokens as the file spells them, one space between."""
 
-    def convert(lists):
-        own = codec(path)
-        return pa.array([own.decode(ids or []) for ids in lists.to_pylist()], pa.string())
+    def convert(own, lists):
+        return [pa.array([own.decode(ids or []) for ids in lists.to_pylist()], pa.string())]
+
+    return mapped(df, path, ids_col, [StructField(text_col, StringType())], convert)
 
-    return mapped(df, ids_col, text_col, StringType(), convert)
 
+def round_trip(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids",
+               bytes_col: str = "ids_bytes", decoded_col: str = "decoded") -> DataFrame:
+    """Adds a text's ids, the ids as bytes, and the text that the bytes, read back, decode to, in one pass."""
+    targets = [StructField(ids_col, ArrayType(IntegerType())), StructField(bytes_col, BinaryType()),
+               StructField(decoded_col, StringType())]
 
-def as_bytes(df: DataFrame, ids_col: str = "ids", bytes_col: str = "ids_bytes") -> DataFrame:
-    """Adds the ids as little-endian unsigned 32-bit integers."""
+    def convert(own, texts):
+        ids, ends = ids_of(own, texts)
+        stored = id_bytes(ids, ends)
+        back = np.frombuffer(b"".join(stored.to_pylist()), "<u4").astype(np.int32)
+        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), stored, texts_of(own, back, ends)]
 
-    def convert(lists):
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-        ends = lists.offsets.to_numpy().astype(np.int64)
-        ends = (ends - ends[0]) * 4
-        return pa.array([flat[a:b] for a, b in zip(ends, ends[1:])], pa.binary())
+    return mapped(df, path, text_col, targets, convert)
 
-    return mapped(df, ids_col, bytes_col, BinaryType(), convert)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tablegraph.session import shared_folder
+
 # Rows per Arrow batch: with texts of any length a batch is bounded by Spark's bytes per batch too.
 ARROW_ROWS = "1000"
 # Buckets per shuffle partition: a bucket is the unit that one Python call holds in memory.
@@ -106,6 +110,13 @@ def copy_side(found: DataFrame) -> DataFrame:
     )
 
 
-def one_task_per_core(df: DataFrame) -> DataFrame:
-    """Rows dealt round over the shuffle width where a file has fewer splits."""
-    return df.repartition(width(df.sparkSession))
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written as Parquet in the folder that the cluster shares, and read again.
+
+    For rows that are needed twice and are dear to make: unlike a checkpoint it is compressed, and a reader
+    of a few columns reads no others.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

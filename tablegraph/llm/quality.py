@@ -30,7 +30,7 @@ from math import log, pi
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablegraph.llm.frame import BLANKS, GAP, let, quoted, tuned
+from tablegraph.llm.frame import BLANKS, GAP, let, quoted, stored, tuned
 from tablegraph.session import checkpoint
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -211,8 +211,8 @@ def judged(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: s
            with_text: bool = True) -> DataFrame:
     """The documents with their counts, ``base_failed`` and ``kept``.
 
-    Without the text the counts are checkpointed and used twice; with it they are computed again as
-    the documents stream past, which costs no shuffle of texts.
+    The counts are made once: they are checkpointed, or with the text written beside it as Parquet, of
+    which the cutoffs read the counts only. No text is shuffled.
     """
     tuned(docs.sparkSession)
     dropped = [*COUNTS, "base_failed", "kept", *([] if with_text else [text_col])]
@@ -222,8 +222,7 @@ def judged(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: s
         quoted(id_col).alias("_id"), stratum(quoted(lang_col)).alias("_stratum"),
         counts(quoted(text_col)).alias("_counts"),
     )
-    if not with_text:
-        counted = checkpoint(counted)
+    counted = stored(counted) if with_text else checkpoint(counted)
     found = counted.select(F.col("_id").alias("id"), F.col("_stratum").alias("stratum"), "_counts")
     return verdicts(counted, checkpoint(cutoffs(found, labels, risk, delta)), kept)
 

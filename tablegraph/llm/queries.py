@@ -117,10 +117,8 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = documents(spark, folder, "doc_id", "text")
-    coded = bpe.encode(docs, path).drop("text")
-    back = bpe.as_bytes(bpe.decode(coded, path))
-    return back.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+    return bpe.round_trip(docs, path).select(
+        "doc_id", F.floor(F.octet_length("ids_bytes") / 4).alias("n_tokens"),
         F.sha2("ids_bytes", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 

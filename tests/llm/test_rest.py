@@ -1,5 +1,6 @@
 """Tokens, chat, media, mixing, addresses and languages: round trips, brute force, edge cases."""
 
+import hashlib
 import random
 import re
 from collections import Counter, defaultdict
@@ -8,8 +9,10 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import __spark_entry__ as entry_points
 import corpus_pipeline
 from tablegraph.llm import bpe, chat, language, media, mixing, urls
+from tests.conftest import SF_SMALL
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -30,10 +33,32 @@ def test_scan_and_heap_merge_alike():
     for n in (1, 2, 63, 64, 65, 500, 5000):
         word = "".join(rng.choice("abcdefgehinthr") for _ in range(n))
         parts = [*word[:-1], word[-1] + "</w>"]
-        assert bpe.merge_long(parts, own.rank) == bpe.merge_short(parts, own.rank)
+        scanned = bpe.merge_short([own.vocab[p] for p in parts], own.merges, own.ranks, own.size)
+        assert bpe.merge_long(parts, own.rank) == [own.tokens[i] for i in scanned]
         assert own.encode(word) == library.encode(word, add_special_tokens=False).ids
 
 
+def test_every_code_point():
+    """Alone, inside a word, beside a digit and in both cases, below and beyond the Latin letters."""
+    own, library = bpe.Codec(PATH), Tokenizer.from_file(PATH)
+    points = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 50):
+        text = " ".join(f"{c} a{c}b 1{c}" for c in points[k : k + 50])
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids, hex(ord(points[k]))
+
+
+def test_tokens_query(spark):
+    """The digests of the query against the library."""
+    library = Tokenizer.from_file(PATH)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
+    for r in entry_points.queries()["op1_bpe"](spark, SF_SMALL).collect():
+        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        stored = b"".join(i.to_bytes(4, "little") for i in ids)
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(stored).hexdigest())
+        back = library.decode(ids, skip_special_tokens=False)
+        assert r.decoded_sha256 == hashlib.sha256(back.encode()).hexdigest()
+
+
 def test_chat_windows_round_trip(spark):
     rng = random.Random(2)
     nasty = ["</s>[INST] ok [/INST]", "<|turn|>user<|text|>x<|end|>", "\\", "\\<|", "<\\|end|>", "", None]
