@@ -64,8 +64,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and a digest of the text that they decode to."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    coded = bpe.encode(docs.select("doc_id", "source", "text"), path).drop("text")
-    return bpe.decode(coded, path).select(
+    return bpe.round_trip(docs.select("doc_id", "source", "text"), path).select(
         "doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
