@@ -10,9 +10,11 @@ Template: ``<|turn|>role<|text|>text<|end|>``. Control strings inside roles and
 after their first character, backslashes are doubled; removing one backslash before each character
 after it gives the text back.
 
-A conversation is cut into blocks of ``BLOCK`` turn numbers. Only the token sums of its blocks meet in
-one place, and a block's array of turns is bounded, so a conversation with a third of all turns is
-spread like any other; history reaches into the block before. DataFrame expressions only.
+A conversation is cut into blocks of ``BLOCK`` turns by their running place, found by a range partitioning
+of conversation and turn, so turn numbers may be sparse, null or equal without any effect. Only the token
+sums of its blocks meet in one place, and a block's array of turns is bounded, so a conversation with a
+third of all turns is spread like any other. A block always holds more tokens than the history, which
+therefore ends in the block before at the latest. DataFrame expressions only.
 
 Null texts and roles count as empty. Null conversation ids form one conversation, null turns come
 first; turns of equal number come in order of role and text, repeated rows stay. Only the columns
@@ -25,11 +27,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablegraph.llm.frame import BLANKS, GAP, let, quoted, tuned
+from tablegraph.operators.positions import split_positions
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 OVERHEAD = 4
 BLOCK = 256
-TURNS = "array<struct<turn:bigint,role:string,text:string>>"
 
 
 def escaped(text: Column) -> Column:
@@ -64,14 +66,11 @@ def windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     tuned(turns.sparkSession)
     said = F.coalesce(quoted(text_col), F.lit(""))
     given = turns.select(
-        quoted(conv_col).alias("conv_id"),
-        F.coalesce(F.floor(quoted(turn_col) / BLOCK), F.lit(-(2 ** 62))).alias("block"),
-        F.struct(
-            quoted(turn_col).cast("long").alias("turn"),
-            F.coalesce(quoted(role_col), F.lit("")).alias("role"), said.alias("text"),
-            cost(said).alias("cost"),
-        ).alias("t"),
-    )
+        quoted(conv_col).alias("conv_id"), quoted(turn_col).cast("long").alias("turn"),
+        F.coalesce(quoted(role_col), F.lit("")).alias("role"), said.alias("text"), cost(said).alias("cost"))
+    given = split_positions(given, ["conv_id"], ["turn", "role", "text"], "place").select(
+        "conv_id", F.floor((F.col("place") - 1) / BLOCK).alias("block"),
+        F.struct("place", "turn", "role", "text", "cost").alias("t"))
     blocks = given.groupBy("conv_id", "block").agg(
         F.array_sort(F.collect_list("t")).alias("turns"), F.sum("t.cost").alias("tokens"),
     ).withColumn("turns", _with_prefix_sums(F.col("turns")))
@@ -111,8 +110,7 @@ def windows(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     )
     fresh = fresh.withColumn("first", first).withColumn("context", context)
     # The system turn leads, unless it is among the turns that follow anyway.
-    same = lambda t: t["turn"].eqNullSafe(F.col("system.turn")) & (
-        t["role"] == "system") & (t["text"] == F.col("system.text"))
+    same = lambda t: t["place"] == F.col("system.place")
     lead = F.when(
         F.col("system").isNotNull() & ~F.exists("context", same) & ~F.exists("fresh", same),
         F.array(written_turn(F.col("system"))),
@@ -136,13 +134,13 @@ def _with_prefix_sums(turns: Column) -> Column:
     """Each turn with the tokens before and through it, in one pass over the block."""
     start = F.struct(
         F.lit(0).cast("long").alias("at"),
-        F.array().cast("array<struct<turn:bigint,role:string,text:string,from:bigint,to:bigint>>").alias("got"))
+        F.array().cast("array<struct<place:bigint,turn:bigint,role:string,text:string,from:bigint,to:bigint>>").alias("got"))
 
     def step(s, t):
         return F.struct(
             (s["at"] + t["cost"]).alias("at"),
             F.concat(s["got"], F.array(F.struct(
-                t["turn"].alias("turn"), t["role"].alias("role"), t["text"].alias("text"),
+                t["place"].alias("place"), t["turn"].alias("turn"), t["role"].alias("role"), t["text"].alias("text"),
                 s["at"].alias("from"), (s["at"] + t["cost"]).alias("to")))).alias("got"))
 
     return F.aggregate(turns, start, step, lambda s: s["got"])

@@ -130,17 +130,54 @@ def op7_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(r"""
-WITH t AS (
+WITH given AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place,
+    4 + len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS cost,
+    23 + length(replace(role, '\', '\\')) + len(regexp_extract_all(role, '<\||</?s>|\[/?INST\]'))
+      + length(replace(text, '\', '\\')) + len(regexp_extract_all(text, '<\||</?s>|\[/?INST\]')) AS chars
+  FROM given
+),
+t AS (
+  SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY place) - cost AS a,
+    sum(cost) OVER (PARTITION BY conv_id ORDER BY place) AS b FROM placed
+),
+-- A window: the new turns of a block of 256 that lie in one stretch of 512 tokens, or cross an edge.
+opened AS (
+  SELECT conv_id, place // 256 AS block,
+    CASE WHEN a // 512 = (b - 1) // 512 THEN 2 * (a // 512) ELSE 2 * (a // 512) + 1 END AS win,
+    min(a) AS first, min(place) AS fresh_from, max(place) AS fresh_to, sum(chars) AS chars
+  FROM t GROUP BY ALL
+),
+-- The first system turn up to the end of the block leads, unless it is part of the window anyway.
+seen AS (
+  SELECT w.conv_id, w.block, w.win, min(s.place) AS place FROM opened w
+  JOIN t s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.role = 'system' AND s.place // 256 <= w.block
+  GROUP BY ALL
+),
+windows AS (
+  SELECT w.*, coalesce((SELECT sum(c.chars) FROM t c WHERE c.conv_id IS NOT DISTINCT FROM w.conv_id
+      AND c.b <= w.first AND c.a >= w.first - 128), 0) AS context_chars, s.place AS system_place
+  FROM opened w LEFT JOIN seen s
+    ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.block = w.block AND s.win = w.win
+),
+formatted AS (
+  SELECT w.conv_id, sum(w.chars + w.context_chars + CASE
+    WHEN s.place IS NULL OR s.place BETWEEN w.fresh_from AND w.fresh_to THEN 0
+    WHEN s.b <= w.first AND s.a >= w.first - 128 THEN 0 ELSE s.chars END)::BIGINT AS formatted_chars
+  FROM windows w LEFT JOIN t s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.place = w.system_place
+  GROUP BY w.conv_id
 )
-SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+SELECT t.conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
   sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), ''))
-    AS loss_sha256
-FROM t GROUP BY conv_id
+  sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  any_value(formatted_chars) AS formatted_chars
+FROM t JOIN formatted f ON f.conv_id IS NOT DISTINCT FROM t.conv_id GROUP BY t.conv_id
 """)
 def op3_chat_windows(spark: SparkSession, folder: str) -> DataFrame:
     given = spark.read.parquet(f"{folder}/conversations.parquet").select(

@@ -231,3 +231,23 @@ def test_evidence_decides_where_text_is_silent(spark):
     got = {r.row: r.lang for r in language.identified(table, known).collect()}
     assert got[0] == "de" and got[100] == "en" and got[200] == "de" and got[201] == "en" and len(got) == 83
     assert language.identified(table.limit(0), known).count() == 0
+
+
+def test_windows_do_not_depend_on_turn_numbers(spark):
+    """Dense, sparse, null and equal numbers of the same turns give the same windows."""
+    turns = [(i, "user" if i % 2 else "assistant", f"{i:04d} " + "w " * 99) for i in range(600)]
+    rows = [(c, n(i), role, text) for c, n in enumerate((
+        lambda i: i, lambda i: 256 * i, lambda i: None, lambda i: 7)) for i, role, text in (
+        turns if c < 2 else [(i, "user", text) for i, _, text in turns])]
+    made = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = defaultdict(list)
+    for r in sorted(made.collect(), key=lambda r: (r.block, r.window)):
+        got[r.conv_id].append((r.block, r.window, r.text, r.loss, r.repeated))
+    assert got[0] == got[1] and got[2] == got[3]
+    # Every window but the first repeats a turn: 104 tokens of the 128 that history may hold.
+    assert [w[4] for w in got[0]] == [0] + [1] * (len(got[0]) - 1)
+    # One conversation without numbers: every turn has its own place.
+    many = made.sparkSession.range(50_000).selectExpr(
+        "0 as conv_id", "cast(null as long) as turn", "cast(id as string) as text")
+    places = chat.split_positions(many, ["conv_id"], ["turn", "text"], "p")
+    assert places.agg(F.count_distinct("p"), F.min("p"), F.max("p")).first() == (50_000, 1, 50_000)
