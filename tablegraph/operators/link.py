@@ -13,6 +13,8 @@ from tablegraph.functions.similarity import (
     normed_sim,
 )
 from tablegraph.functions.text import norm, py_strip, tokenize
+from tablegraph.operators.nearest import nearest_entities
+from tablegraph.session import checkpoint
 
 # Label and description predicates in order of preference.
 LABEL_PREDICATES = [V.RDFS_LABEL, V.PREF_LABEL, V.ALT_LABEL, V.DCT + "title", V.DC + "title"]
@@ -87,6 +89,13 @@ def token_candidates(terms: DataFrame, index: DataFrame) -> DataFrame:
     return asked.join(index, "token").select("term_id", "term", "uri").distinct()
 
 
+def texts_with_token(texts: DataFrame, entities: DataFrame, synonyms: DataFrame | None) -> DataFrame:
+    """``text``: those that share a token with a name of any entity."""
+    tokens = entity_names(entities, synonyms).select(F.explode(tokenize(F.col("name"))).alias("token")).distinct()
+    asked = texts.select("text", F.explode(tokenize(F.col("text"))).alias("token"))
+    return asked.join(tokens, "token", "left_semi").select("text").distinct()
+
+
 def _score_in_row(texts: DataFrame, entities: DataFrame) -> DataFrame:
     """``text, uri, raw``: each candidate pair scored once, straight out of the token join.
 
@@ -137,8 +146,9 @@ def search_vocabulary(
     """Best ``limit`` entities per term by name similarity.
 
     ``term_id, term, rank, uri, label, description, score, source_provider``. The score is the
-    best similarity over label and synonyms plus the bonus for a label that contains the term. A
-    term that shares no token with any entity gets no row.
+    best similarity over label and synonyms plus the bonus for a label that contains the term. Only
+    entities that share a token are compared; a term that shares none with any entity is compared with
+    all of them (:mod:`tablegraph.operators.nearest`).
     Terms with the same normalised text are searched once. Synonyms are an in-row array of
     ``entities`` or a long ``uri, name`` frame.
     """
@@ -153,6 +163,15 @@ def search_vocabulary(
         scored = _score_in_row(texts, rows)
     else:
         scored = _score_long(texts, entities, synonyms)
+        rows = None
+    hit = texts_with_token(texts, entities, synonyms)
+    lost = texts.join(hit, "text", "left_anti")
+    names = entity_names(entities, synonyms) if rows is None else rows.select(
+        "uri", F.explode("names").alias("name"), "label")
+    names = names.select("uri", norm(F.col("name")).alias("name"), norm(F.col("label")).alias("label"))
+    lost = checkpoint(lost)
+    if not lost.isEmpty():
+        scored = scored.unionByName(nearest_entities(lost, names, limit))
     # rank <= k on row_number keeps only k rows per text and task before the shuffle.
     order = Window.partitionBy("text").orderBy(F.desc("raw"), "uri")
     top = scored.withColumn("rank", F.row_number().over(order)).filter(

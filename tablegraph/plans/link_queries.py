@@ -54,6 +54,23 @@ def vocabulary_search(t):
     return out.select("term", "rank", "uri", "label", "score")
 
 
+@query("""
+WITH terms AS (SELECT DISTINCT translate(p_name, 'aeiou', 'eioua') AS term FROM part),
+ent AS (SELECT 'urn:part:' || p_partkey AS uri, p_name || ' ' || p_brand AS label, p_type AS syn FROM part),
+scored AS (SELECT term, uri, label, greatest(
+   1 - levenshtein(term, lower(label)) / greatest(length(term), length(label)),
+   1 - levenshtein(term, lower(syn)) / greatest(length(term), length(syn))) AS raw FROM terms, ent),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY raw DESC, uri) AS rank FROM scored)
+SELECT term, CAST(rank AS INTEGER) AS rank, uri, label, round(raw, 6) AS score FROM ranked WHERE rank <= 7
+""")
+def misspelt_search(t):
+    """Terms of which no token is left: their vowels are exchanged."""
+    term = F.translate("p_name", "aeiou", "eioua")
+    terms = t.part.select(term.alias("term_id"), term.alias("term")).distinct()
+    out = link.search_vocabulary(terms, _part_entities(t), 7)
+    return out.select("term", "rank", "uri", "label", "score")
+
+
 _SUGGESTIONS = """sugg AS (SELECT l.l_partkey AS term_id, p.p_name AS term, l.l_returnflag AS provider,
   l.l_linenumber AS rank, 'http://v/' || l.l_suppkey AS uri, q.p_name AS label, q.p_type AS description,
   CASE WHEN l.l_discount > 0.01 THEN l.l_discount END AS score, q.p_brand AS source_provider

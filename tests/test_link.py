@@ -41,7 +41,8 @@ def test_entities_and_search(spark, vocab):
     got = {r.term_id: (r.uri, r.score) for r in long.collect()}
     assert got[1] == ("u1", pytest.approx(1 - 1 / 13, abs=1e-6))
     assert got[2] == ("u2", 1.0) and got[5] == ("u2", 1.0)
-    assert 3 not in got and 4 not in got  # no token hit: no row
+    assert got[3] == ("u1", 0.0)  # no token hit: compared with all entities, as the inventory asks
+    assert 4 not in got
     in_row = entities.join(
         names.groupBy("uri").agg(F.collect_list("name").alias("synonyms")), "uri", "left")
     assert rows(link.search_vocabulary(terms, in_row, 2)) == rows(
