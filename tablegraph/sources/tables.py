@@ -6,8 +6,10 @@ from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tablegraph.config import NA_MARKERS
+from tablegraph.sources import records
 
 DELIMITERS = [",", ";", "\t", "|"]
 ENCODINGS = ["utf-8", "iso-8859-1", "windows-1252"]
@@ -82,26 +84,30 @@ def read_table(
 ) -> DataFrame:
     """All-string table from delimited text; the NA markers become null.
 
-    ``start_row`` counts physical lines of each file, as its header line does. The header is
-    read on the driver, the rows never are: a file that starts at line 1 stays splittable.
+    ``start_row`` counts the physical lines of each file, as its header line does; what stands before it
+    is left out of every file. Files that start at line 1 and hold no line break inside quotes go to the
+    splittable reader as they are; all others are put together by :mod:`tablegraph.sources.records`, which
+    needs no file in one task either. The header of the first file by path is read on the driver.
     """
     sep = sep or infer_delimiter(spark, path, encoding)
     start_row = max(start_row, 1)
-    lines = _lines(spark, path, encoding)
-    head = lines.limit(start_row).collect()
-    names = _header(spark, head[-1][0].lstrip("\ufeff") if len(head) == start_row else "", sep)
-    reader = (
-        spark.read.schema(", ".join(f"`c{i}` string" for i in range(len(names))) or "`c0` string")
-        .option("sep", sep)
-        .option("ignoreLeadingWhiteSpace", True)
-    )
-    if start_row == 1:
+    lines = records.text_lines(spark, path, encoding)
+    broken = not lines.where(records.ends_inside(F.col("value"), sep)).isEmpty()
+    if start_row > 1 or broken:
+        found = records.records(lines, sep, start_row)
+        head = found.where(F.col("number") == start_row).orderBy("file").select("value").head(1)
+    else:
+        found = None
+        head = lines.orderBy("file", "block", "id").select("value").head(1)
+    names = _header(spark, head[0][0].lstrip("\ufeff") if head else "", sep)
+    schema = ", ".join(f"`c{i}` string" for i in range(len(names))) or "`c0` string"
+    options = {"sep": sep, "ignoreLeadingWhiteSpace": "true", "escape": '"'}
+    if found is None:
+        reader = spark.read.schema(schema).options(**options)
         df = reader.option("header", True).option("encoding", encoding).csv(path)
     else:
-        # Line numbers need the line count of every earlier split: zipWithIndex does that in two
-        # passes without moving rows.
-        body = lines.rdd.zipWithIndex().filter(lambda x: x[1] >= start_row)
-        df = reader.csv(body.map(lambda x: x[0][0]))
+        body = found.where((F.col("number") > start_row) & (F.trim("value") != ""))
+        df = body.select(F.from_csv("value", schema, options | {"multiLine": "true"}).alias("r")).select("r.*")
     out = sanitize_names(names)
     if not out:
         return df.limit(0)
@@ -112,11 +118,19 @@ def read_table(
 
 def _header(spark: SparkSession, line: str, sep: str) -> list:
     """Names in one header line as written; an empty name is null."""
-    reader = spark.read.option("sep", sep).option("ignoreLeadingWhiteSpace", True)
-    row = reader.csv(spark.sparkContext.parallelize([line], 1)).first()
+    options = {"sep": sep, "ignoreLeadingWhiteSpace": "true", "escape": '"', "multiLine": "true"}
+    one = spark.createDataFrame([(line,)], "line string")
+    shape = one.select(F.schema_of_csv(F.lit(line), options)).head()[0] if line.strip() else ""
+    # Types are inferred from the names; only their number counts.
+    fields = ", ".join(f"`_c{i}` string" for i in range(len(StructType.fromDDL(_struct_body(shape)))))
+    row = one.select(F.from_csv("line", fields, options).alias("r")).select("r.*").head() if fields else None
     return list(row) if row else []
 
 
+def _struct_body(ddl: str) -> str:
+    return ddl.removeprefix("STRUCT<").removesuffix(">")
+
+
 def normalize_mixed(df: DataFrame) -> DataFrame:
     """Every column as nullable string; binary columns decoded as UTF-8, else Latin-1."""
     out = []
