@@ -93,8 +93,9 @@ def iso_datetime(c: Column, stripped: bool = False) -> Column:
     return F.when(t.rlike(_PLAIN_DATE), plain).when(t.rlike(_MAYBE_DATE), iso)
 
 
-def _date_guards(t: Column) -> Column:
-    """Texts that are never taken for a date: short, digits only, versions, codes, name + year."""
+# The five patterns of texts that are no dates.
+def date_guards(t: Column) -> Column:
+    """False for texts that are never taken for a date: short, digits only, versions, codes, name + year."""
     return (
         (F.length(t) >= 5)
         & ~t.rlike(r"^\p{Nd}+$")
@@ -108,7 +109,11 @@ def _date_guards(t: Column) -> Column:
 def is_date_like(c: Column, stripped: bool = False) -> Column:
     """Date test over the layouts of :func:`iso_datetime`; all work stays in the JVM."""
     t = c if stripped else py_strip(c)
-    return _false_if_null(_date_guards(t) & iso_datetime(t, True).isNotNull())
+    return _false_if_null(date_guards(t) & iso_datetime(t, True).isNotNull())
+
+
+# Two-digit years from here on are of the last century.
+PIVOT = 75
 
 
 def iso_datetime_free(c: Column) -> Column:
@@ -119,15 +124,23 @@ def iso_datetime_free(c: Column) -> Column:
 
     @F.pandas_udf("string")
     def convert(values: pd.Series) -> pd.Series:
-        from dateutil.parser import parse
+        from dateutil.parser import parse, parserinfo
+
+        class Fixed(parserinfo):
+            """Two-digit years by a fixed pivot; by default it moves with the clock."""
+
+            def convertyear(self, year, century_specified=False):
+                if year >= 100 or century_specified:
+                    return year
+                return year + (2000 if year < PIVOT else 1900)
 
-        base = datetime.datetime(2000, 1, 1)
+        base, info = datetime.datetime(2000, 1, 1), Fixed()
 
         def one(text: str | None) -> str | None:
             if text is None:
                 return None
             try:
-                return parse(text, fuzzy=False, default=base).isoformat()
+                return parse(text, info, fuzzy=False, default=base).isoformat()
             except (ValueError, OverflowError, TypeError):
                 return None
 
@@ -138,7 +151,7 @@ def iso_datetime_free(c: Column) -> Column:
 
 def is_date_like_free(c: Column) -> Column:
     t = py_strip(c)
-    return _false_if_null(_date_guards(t) & iso_datetime_free(t).isNotNull())
+    return _false_if_null(date_guards(t) & iso_datetime_free(t).isNotNull())
 
 
 def is_object_term(c: Column, stripped: bool = False) -> Column:

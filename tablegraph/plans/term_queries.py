@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tablegraph.functions import similarity as S
 from tablegraph.functions import text as T
 from tablegraph.functions import values as X
-from tablegraph.operators import profile, reshape, similar, terms
+from tablegraph.operators import dates, profile, reshape, similar, terms
 from tablegraph.plans.registry import query
 
 PART = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
@@ -191,6 +191,59 @@ def typed_literals(t):
     )
 
 
+# Forms of a moment that no native layout has: Spark's pattern, DuckDB's, and what is left of the moment.
+_FREE_FORMS = [
+    ("dd MMM yy", "%d %b %y", "date_trunc('day', m)"),
+    ("MM/dd/yy", "%m/%d/%y", "date_trunc('day', m)"),
+    ("yyyy-MM", "%Y-%m", "date_trunc('month', m)"),
+    ("EEEE", "%A", "TIMESTAMP '2000-01-01' + to_days(((dayofweek(m) + 1) % 7)::INTEGER)"),
+    ("yyyyMMdd'T'HHmmss", "%Y%m%dT%H%M%S", "m"),
+    ("HH:mm:ss", "%H:%M:%S", "TIMESTAMP '2000-01-01' + (m - date_trunc('day', m))"),
+    ("EEEE, MMMM d, yyyy", "%A, %B %-d, %Y", "date_trunc('day', m)"),
+    ("hh:mm a MMM d yyyy", "%I:%M %p %b %-d %Y", "date_trunc('minute', m)"),
+    ("'day' D 'of' yyyy", "day %-j of %Y", "NULL::TIMESTAMP"),
+]
+_FREE_SQL = f"""WITH o AS (SELECT o_orderkey, o_orderdate + to_minutes((o_orderkey % 1440)::INTEGER) AS m FROM orders),
+f AS (SELECT o_orderkey, CASE o_orderkey % {len(_FREE_FORMS)} """ + " ".join(
+    f"WHEN {i} THEN strftime(m, '{duck}')" for i, (_, duck, _) in enumerate(_FREE_FORMS)
+) + f""" END AS written, CASE o_orderkey % {len(_FREE_FORMS)} """ + " ".join(
+    f"WHEN {i} THEN {left}" for i, (_, _, left) in enumerate(_FREE_FORMS)) + """ END AS moment FROM o)"""
+
+
+def _free_texts(t):
+    minutes = F.make_dt_interval(mins=(F.col("o_orderkey") % 1440).cast("int"))
+    moment = F.col("o_orderdate").cast("timestamp_ntz") + minutes
+    written = F.lit(None).cast("string")
+    for i, (layout, _, _) in enumerate(_FREE_FORMS):
+        written = F.when(F.col("o_orderkey") % len(_FREE_FORMS) == i, F.date_format(moment, layout)).otherwise(written)
+    return t.orders.select("o_orderkey", written.alias("written"))
+
+
+@query(_FREE_SQL + """
+SELECT o_orderkey, written, strftime(moment, '%Y-%m-%dT%H:%M:%S') AS iso, moment IS NOT NULL AS date_like,
+  'http://www.w3.org/2001/XMLSchema#' || CASE WHEN moment IS NULL THEN 'string' ELSE 'dateTime' END AS datatype,
+  coalesce(strftime(moment, '%Y-%m-%dT%H:%M:%S'), written) AS literal
+FROM f
+""")
+def free_form_dates(t):
+    """Eight forms beyond the native layouts, and one that is no date."""
+    texts = dates.with_date_test(dates.with_iso_datetime(_free_texts(t), "written"), "written")
+    return dates.with_typed_literal(texts, "written", F.lit("day")).select(
+        "o_orderkey", "written", "iso", "date_like", "datatype", "literal")
+
+
+@query(_FREE_SQL + """
+SELECT 'form_' || (o_orderkey % 9) AS "column" FROM f GROUP BY 1 HAVING bool_and(moment IS NOT NULL)
+UNION ALL SELECT 'o_orderdate'
+""")
+def free_form_date_columns(t):
+    """A column for each form; all but the last hold nothing but dates."""
+    texts = _free_texts(t).join(t.orders.select("o_orderkey", "o_orderdate"), "o_orderkey")
+    columns = [F.when(F.col("o_orderkey") % len(_FREE_FORMS) == i, F.col("written")).alias(f"form_{i}")
+               for i in range(len(_FREE_FORMS))]
+    return dates.free_date_columns(texts.select(*columns, "o_orderdate", F.lit(" ").alias("blank")))
+
+
 _LAYOUTS = {
     "1-URGENT": ("yyyy/M/d HH:mm", "%Y/%-m/%-d %H:%M"),
     "2-HIGH": ("MM/dd/yyyy", "%m/%d/%Y"),
