@@ -14,6 +14,7 @@ from tablegraph.config import (
 )
 from tablegraph.functions.text import py_strip
 from tablegraph.functions.values import is_object_term
+from tablegraph.operators.pages import Pages
 from tablegraph.operators.profile import header_terms, native_kind
 from tablegraph.operators.reshape import unpivot_rows
 
@@ -191,9 +192,6 @@ def download_table(mapping: DataFrame) -> DataFrame:
 def page(df: DataFrame, order_by: list[str], number: int, size: int) -> DataFrame:
     """One page in key order; a page beyond the last shows the last, below one the first.
 
-    Only the count reaches the driver; offset and limit run as one distributed top-k.
+    For several pages of a table keep its :class:`tablegraph.operators.pages.Pages`.
     """
-    total = df.count()
-    pages = max(1, -(-total // size)) if size > 0 else 1
-    number = min(max(number, 1), pages)
-    return df.orderBy(*[F.col(f"`{c}`") for c in order_by]).offset((number - 1) * size).limit(size)
+    return Pages(df, order_by).page(number, size)

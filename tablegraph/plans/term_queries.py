@@ -481,6 +481,19 @@ def page_of_terms(t):
     return terms.page(t.customer.select("c_custkey", "c_name"), ["c_name"], 3, 20)
 
 
+@query("""
+WITH r AS (SELECT l_partkey, l_orderkey, l_linenumber, l_quantity,
+    row_number() OVER (ORDER BY l_partkey, l_orderkey, l_linenumber, l_quantity) AS place, count(*) OVER () AS n
+  FROM lineitem)
+SELECT l_partkey, l_orderkey, l_linenumber, l_quantity FROM r
+WHERE (place - 1) // 70 = least(500, (n + 69) // 70) - 1
+""")
+def page_inside(t):
+    """A page deep inside the line items."""
+    rows = t.lineitem.select("l_partkey", "l_orderkey", "l_linenumber", "l_quantity")
+    return terms.page(rows, ["l_partkey"], 500, 70)
+
+
 @query("""
 WITH v AS (SELECT DISTINCT o_custkey AS subject, o_orderpriority AS priority FROM orders),
 s AS (SELECT DISTINCT o_custkey AS subject, o_orderstatus AS status FROM orders),
@@ -538,7 +551,7 @@ def extract_iris(t):
 @query("""
 SELECT c_custkey, 'A' || upper(md5(c_name)) AS entity,
  'https://l/c?i=http%3A%2F%2Fx%2Fobo%2FGO_' || c_custkey || '&a=GO' AS link,
- 'https://doi.org/10.1%2F' || replace(c_name, '#', '%23') AS doi, substr(c_name, 1, 8) AS given_first,
+ 'https://doi.org/10.1%2F' || replace(c_name, '#', '%23') AS doi, c_name AS given_first,
  'https://www.ncbi.nlm.nih.gov/' || CASE WHEN c_nationkey < 9 THEN 'gene' ELSE lower(c_mktsegment) END
    || '/' || c_custkey AS page
 FROM customer
@@ -547,7 +560,7 @@ def names_and_links(t):
     key = F.col("c_custkey").cast("string")
     iri = F.concat(F.lit("http://x/obo/GO_"), key)
     db = F.when(F.col("c_nationkey") < 9, "gene").otherwise(F.lower("c_mktsegment"))
-    person = T.person_name(F.concat(F.lit("Smith, "), F.substring("c_name", 1, 8)))
+    person = T.person_name(F.concat(F.lit("Smith, "), F.col("c_name")))
     return t.customer.select(
         "c_custkey", T.entity_id(F.col("c_name"), "A").alias("entity"),
         T.ui_link(F.lit("https://l/c?i={encoded_iri}&a={acronym}"), T.obo_acronym(iri), iri).alias("link"),
