@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablegraph import vocab as V
+from tablegraph.session import parallel_tasks
 
 
 def _top_per_term(rows: DataFrame, limit: int) -> DataFrame:
@@ -54,16 +55,59 @@ def contains_join(terms: DataFrame, labels: DataFrame, column: str) -> DataFrame
 _META = r"[\\^$.|?*+()\[\]{}]"
 
 
+# Letters that a pattern without regard to case meets although lower-casing keeps them apart.
+_ODD_CASE = "[\u017f\u0131\u0130\u212a]"
+
+
+def required_run(pattern: Column) -> Column:
+    """The longest stretch of plain characters, in lower case, that every match of a pattern holds.
+
+    Null where none can be told: alternatives, flags, and classes that begin with a bracket are not looked
+    into. Classes, groups, escapes and characters that may be absent only end a stretch.
+    """
+    cut = F.regexp_replace(pattern, r"\\[^A-Za-z0-9]", "\0")
+    cut = F.regexp_replace(cut, r"\\(?:[pPxuNk]\{[^}]*\}|[pP].|x..|u....|k<[^>]*>|.)", "\0")
+    cut = F.regexp_replace(cut, r"\[[^\[\]]*\]", "\0")
+    for _ in range(4):  # nested groups from the inside; what is nested deeper stays and is refused
+        cut = F.regexp_replace(cut, r"\([^()]*\)", "\0")
+    left = cut
+    cut = F.regexp_replace(cut, r"(?s).(?:[?*]|\{[^}]*\})[?+]?", "\0")
+    cut = F.regexp_replace(cut, r"(?s)(.)\+[?+]?", "$1\0")
+    runs = F.split(F.regexp_replace(cut, r"[.^$]", "\0"), "\0")
+    runs = F.filter(runs, lambda r: r.rlike(r"^[\x20-\x7E]+$"))
+    best = F.get(F.array_sort(F.transform(
+        runs, lambda r: F.struct((-F.length(r)).alias("n"), F.lower(r).alias("run")))), F.lit(0))["run"]
+    sure = ~left.rlike(r"[|()\[\]]") & ~pattern.rlike(r"\(\?[a-zA-Z-]|\[\^?\]|\\[QEc0-9]")
+    return F.when(sure, best)
+
+
 def pattern_join(terms: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     """As :func:`contains_join`, but a term may be a pattern.
 
-    Plain terms, the usual case, go through the gram join. A real pattern has no equality to
-    join on; each label is tested against those few where it lies.
+    A pattern asks the grams for the plain characters that any match of it holds, and is tested on the labels
+    that have them. Patterns without such characters, and the few labels with letters whose case folds
+    oddly, meet in a join dealt over the shuffle width by a salt, so no side is broadcast whole.
     """
     plain = contains_join(terms.filter(~F.col("term").rlike(_META)), labels, column)
     patterns = terms.filter(F.col("term").rlike(_META)).select("term").distinct()
+    patterns = patterns.withColumn("_run", required_run(F.col("term")))
     test = F.rlike(F.col(column), F.concat(F.lit("(?iu)"), F.col("term")))
-    return plain.unionByName(labels.join(patterns, test), allowMissingColumns=True)
+    names = [F.col(f"`{c}`") for c in labels.columns]
+    odd = F.coalesce(F.col(column).rlike(_ODD_CASE), F.lit(False))
+    runs = patterns.where("_run IS NOT NULL")
+    asked = runs.select(F.col("_run").alias("term")).distinct()
+    held = contains_join(asked, labels.where(~odd), column).withColumnRenamed("term", "_held")
+    by_run = held.join(runs, F.col("_held") == F.col("_run")).where(test).select("term", *names)
+    width = parallel_tasks(labels)
+
+    def salted(some: DataFrame, rows: DataFrame) -> DataFrame:
+        left = some.select("term", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("_salt"))
+        right = rows.withColumn("_salt", F.pmod(F.xxhash64(*names), F.lit(width)).cast("int"))
+        return right.join(left, "_salt").where(test).select("term", *names)
+
+    rest = salted(patterns.where("_run IS NULL"), labels).unionByName(salted(runs, labels.where(odd)))
+    found = by_run.unionByName(rest)
+    return plain.unionByName(found, allowMissingColumns=True)
 
 
 def label_contains(terms: DataFrame, quads: DataFrame, limit: int = 10) -> DataFrame:

@@ -212,3 +212,37 @@ def test_patterns(spark, vocab):
     assert {r.label for r in got.collect()} == {"red bolt", "scarlet bolt", "a bolt"}
     got = patterns.concept_search(terms, vocab)
     assert rows(got, "term", "uri", "label", "description") == [("BOLT", "u1", "red bolt", "note")]
+
+
+PATTERNS = ["ab+c", "colou?r", "^red .*bolt$", "a|b", "(ab|cd)ef", "x(y(z))w", "[abc]d", "\\d+ mm", "a{2}b", "ab{0,1}c",
+            "\\.csv", "ab*?cd", "(?i)zz", "\\bkelvin\\b", "a.c", "s+k", "\\Qa.b\\E", "ab\\x41cd", "q++r", "\\pLab", "(a)b\\1",
+            "plain", "k$", "[^a]ski", "i+n"]
+
+
+def test_required_runs(spark):
+    got = spark.createDataFrame([(p,) for p in PATTERNS], "p string").select(
+        "p", patterns.required_run(F.col("p")).alias("run")).collect()
+    want = {"ab+c": "ab", "colou?r": "colo", "^red .*bolt$": "bolt", "a|b": None, "(ab|cd)ef": "ef", "x(y(z))w": "w",
+            "[abc]d": "d", "\\d+ mm": " mm", "a{2}b": "b", "ab{0,1}c": "a", "\\.csv": "csv", "ab*?cd": "cd",
+            "(?i)zz": None, "\\bkelvin\\b": "kelvin", "\\Qa.b\\E": None, "ab\\x41cd": "ab", "q++r": "q", "\\pLab": "ab",
+            "(a)b\\1": None, "k$": "k"}
+    assert {r.p: r.run for r in got if r.p in want} == want
+
+
+def test_pattern_join_equals_testing_all(spark):
+    """Letters whose case folds oddly, empty and null labels, and patterns without any plain character."""
+    texts = ["abbc", "Color", "colour red", "red x bolt", "abef", "xyzw", "AD", "12 mm", "aab", "ac", "x.csv", "abcd",
+             "zz", "a Kelvin b", "Kelvin", "ſſk", "SSK", "a.b", "abAcd", "qqr", "éab", "aba", "PLAIN", "skı",
+             "bSKİ", "ın", "", None, "k"]
+    labels = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "uri int, name string")
+    terms = spark.createDataFrame([(p,) for p in PATTERNS], "term string")
+    got = patterns.pattern_join(terms, labels, "name")
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
+    special = [p for p in PATTERNS if p != "plain"]
+    want = set()
+    for p in special:
+        hit = labels.where(F.rlike("name", F.lit("(?iu)" + p))).collect()
+        want |= {(p, r.uri) for r in hit}
+    want |= {("plain", 22)}
+    rows_got = [(r.term, r.uri) for r in got.collect()]
+    assert set(rows_got) == want and len(rows_got) == len(want)
