@@ -1,6 +1,7 @@
 """Reshaping, profiling, matching tables, near-duplicates."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,6 +171,60 @@ def test_similar_pairs_and_groups_equal_brute_force(spark, t):
     assert {k: sorted(v) for k, v in found.items()} == greedy(words, want)
 
 
+def test_long_near_equal_texts(spark):
+    """Every pair of 1,000 texts of 240 characters that differ in two places, exact ratios."""
+    rng = random.Random(5)
+    base = "".join(rng.choices("abcdefghij klmnop", k=240))
+    spots = [(i, j) for i in range(0, 240, 3) for j in range(i + 1, 240, 7)]
+    texts = []
+    for i, j in rng.sample(spots, 1000):
+        texts.append(base[:i] + "X" + base[i + 1:j] + "Y" + base[j + 1:])
+    df = spark.createDataFrame([(w,) for w in texts], "term string")
+    start = time.perf_counter()
+    found = similar.similar_pairs(df).toPandas()
+    assert time.perf_counter() - start < 60
+    assert len(found) == 1000 * 999 // 2 == len(found.drop_duplicates(["a", "b"]))
+    for a, b, ratio in found.sample(40, random_state=1).itertuples(index=False):
+        assert abs(ratio - 2 * brute_lcs(a.lower(), b.lower()) / 480) < 1e-12
+
+
+@pytest.mark.parametrize("t", [0.7, 0.9, 0.99, 1.0])
+def test_similar_pairs_of_mixed_lengths(spark, t):
+    rng = random.Random(int(t * 1000))
+    words = {"", "é", "É", "x", "ab", "aB"}
+    for size in (3, 9, 17, 33, 64, 130):
+        base = "".join(rng.choices("abcdefg ", k=size))
+        words.add(base)
+        for _ in range(8):
+            w = list(base)
+            for _ in range(rng.randint(1, max(1, size // 6))):
+                at = rng.randrange(len(w))
+                w[at:at + rng.randint(0, 1)] = rng.choices("abcdefg", k=rng.randint(0, 2))
+            words.add("".join(w))
+    rows_in = [(w,) for w in sorted(words)] + [(None,), ("ab",)]
+    pairs = similar.similar_pairs(spark.createDataFrame(rows_in, "term string"), t)
+    got = {(r.a, r.b): r.ratio for r in pairs.collect()}
+    want = brute_pairs(sorted(words - {""}), t)
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_groups_of_a_chain(spark):
+    names = [f"n{i:03d}" for i in range(201)]
+    pairs = spark.createDataFrame(list(zip(names, names[1:])), "a string, b string")
+    want = [(names[i], names[j]) for i in range(0, 200, 2) for j in (i, i + 1)]
+    assert sorted(rows(similar.consolidate_groups(pairs))) == want
+    none = spark.createDataFrame([], "a string, b string")
+    assert rows(similar.consolidate_groups(none)) == []
+
+
+def test_a_leader_whose_terms_another_leads_first(spark):
+    edges = [("b", "c"), ("c", "d"), ("a", "b"), ("d", "z"), ("e", "z")]
+    pairs = spark.createDataFrame(edges, "a string, b string")
+    assert sorted(rows(similar.consolidate_groups(pairs))) == [
+        ("a", "a"), ("a", "b"), ("c", "c"), ("c", "d"), ("e", "e"), ("e", "z")]
+
+
 def test_greedy_order_matters(spark):
     pairs = spark.createDataFrame([("a", "b"), ("b", "c")], "a string, b string")
     assert rows(similar.consolidate_groups(pairs)) == [("a", "a"), ("a", "b")]
