@@ -17,6 +17,7 @@ from tablegraph.functions.values import (
     literal_text,
 )
 from tablegraph.operators.templates import TemplatePlan, plan_template
+from tablegraph.session import dealt
 from tablegraph.sources.tables import validate_mapping
 
 QUAD_COLUMNS = ["g", "s", "s_kind", "p", "o", "o_kind", "o_datatype", "o_lang"]
@@ -230,7 +231,8 @@ def rows_to_quads(
     graph = F.lit(spec.graph)
 
     # The filter tests the raw id: a filter on the built IRI would be computed twice.
-    base = df.filter(_has_subject(spec, settings)).select(
+    # Dealt before the explosion: the statements of a task wait in its memory to be made distinct.
+    base = dealt(df).filter(_has_subject(spec, settings)).select(
         _subject(spec, settings).alias("_s"),
         _row_key(df, spec).alias("_key"),
         *[T.safe_value(F.col(f"`{c}`")).alias(c) for c in df.columns],

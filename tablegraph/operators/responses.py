@@ -27,7 +27,9 @@ def _first_text(json_value: Column) -> Column:
 def _items(bodies: DataFrame, path: str) -> DataFrame:
     """One row per element of the list at a JSON path, the element kept as JSON text."""
     listed = F.from_json(F.get_json_object("body", path), "array<string>")
-    return bodies.select("term_id", "term", "provider", F.posexplode(listed).alias("rank", "item"))
+    rows = bodies.select("term_id", "term", "provider", F.posexplode_outer(listed).alias("rank", "item"))
+    # A plain explosion would test the parsed list in a filter next to the files, before any shuffle.
+    return rows.filter(F.col("rank").isNotNull())
 
 
 def _field(name: str) -> Column:
@@ -128,10 +130,11 @@ def summary_suggestions(bodies: DataFrame) -> DataFrame:
     result = F.from_json(F.get_json_object("body", "$.result"), "map<string,string>")
     base = bodies.select("term_id", "term", "provider", result.alias("result"))
     listed = F.from_json(F.try_element_at("result", F.lit("uids")), "array<string>")
-    rows = base.select(
-        "term_id", "term", "provider", "result", F.posexplode(listed).alias("rank", "uid")
-    )
-    rows = rows.withColumn("item", F.try_element_at("result", F.col("uid")))
+    # Records are looked up inside the list, so that no test of the body is pushed next to the files.
+    found = F.transform(listed, lambda uid: F.struct(
+        uid.alias("uid"), F.try_element_at("result", uid).alias("item")))
+    rows = base.select("term_id", "term", "provider", F.posexplode_outer(found).alias("rank", "_found"))
+    rows = rows.select("term_id", "term", "provider", "rank", "_found.uid", "_found.item")
     rows = rows.filter(F.col("item").isNotNull())
     db = F.col("provider")
     unknown = F.concat(F.lit("Unknown "), db, F.lit(" "), "uid")
@@ -171,7 +174,8 @@ def binding_suggestions(
         F.get_json_object("body", "$.results.bindings"),
         "array<map<string,struct<value:string>>>",
     )
-    rows = bodies.select("term_id", "term", "provider", F.posexplode(listed).alias("rank", "b"))
+    rows = bodies.select("term_id", "term", "provider", F.posexplode_outer(listed).alias("rank", "b"))
+    rows = rows.filter(F.col("rank").isNotNull())
 
     def value(name: str) -> Column:
         return F.nullif(F.try_element_at("b", F.lit(name))["value"], F.lit(""))

@@ -9,6 +9,7 @@ from tablegraph import vocab as V
 from tablegraph.config import Settings
 from tablegraph.functions import text as T
 from tablegraph.operators.quads import constant_quads, distinct_quads, explode_facts, fact
+from tablegraph.session import dealt
 from tablegraph.sources.tables import validate_mapping
 
 
@@ -39,7 +40,8 @@ def skos_quads(
     mapping: DataFrame, data_graph: str, created: str, settings: Settings = Settings()
 ) -> DataFrame:
     """Concept scheme plus one concept per term. ``created`` is an explicit date-time text."""
-    rows = validate_mapping(mapping)
+    # Dealt before the explosion: the statements of a task wait in its memory to be made distinct.
+    rows = dealt(validate_mapping(mapping))
     for name in ("label", "source", "ui_link"):
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast("string"))

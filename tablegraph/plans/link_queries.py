@@ -10,6 +10,7 @@ from tablegraph.operators import link, patterns, rank, resolve, responses
 from tablegraph.operators.quads import explode_facts, fact
 from tablegraph.plans.registry import query
 from tablegraph.plans.term_queries import _MAPPING, supplier_mapping
+from tablegraph.session import dealt
 
 _TOKENS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}_]+'), lambda k: length(k) >= 3)"
 
@@ -260,9 +261,10 @@ def enrich_mapping(t):
 
 
 def _bodies(t, body, provider="P"):
-    return t.part.select(F.col("p_partkey").alias("term_id"), F.col("p_name").alias("term"),
-                         F.lit(provider).alias("provider") if isinstance(provider, str) else provider,
-                         body.alias("body"))
+    # Reading a body is heavy per row.
+    return dealt(t.part).select(
+        F.col("p_partkey").alias("term_id"), F.col("p_name").alias("term"),
+        F.lit(provider).alias("provider") if isinstance(provider, str) else provider, body.alias("body"))
 
 
 def _shown(df):
