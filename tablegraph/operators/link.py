@@ -14,7 +14,10 @@ from tablegraph.functions.similarity import (
 )
 from tablegraph.functions.text import norm, py_strip, tokenize
 from tablegraph.operators.nearest import nearest_entities
-from tablegraph.session import checkpoint
+from tablegraph.session import checkpoint, dealt
+
+# Entities that one task takes: it sorts the pairs that they make with all terms.
+ENTITIES_PER_TASK = 10_000
 
 # Label and description predicates in order of preference.
 LABEL_PREDICATES = [V.RDFS_LABEL, V.PREF_LABEL, V.ALT_LABEL, V.DCT + "title", V.DC + "title"]
@@ -155,6 +158,7 @@ def search_vocabulary(
     terms = terms.select("term_id", py_strip(F.col("term")).alias("term"))
     terms = terms.withColumn("text", norm(F.col("term"))).filter("text != ''")
     texts = terms.select("text").distinct()
+    entities = dealt(entities, ENTITIES_PER_TASK)
     if synonyms is None:
         none = F.array().cast("array<string>")
         more = F.coalesce("synonyms", none) if "synonyms" in entities.columns else none

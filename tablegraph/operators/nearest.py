@@ -14,7 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablegraph.functions.similarity import CONTAINS_BONUS
-from tablegraph.session import checkpoint
+from tablegraph.session import checkpoint, dealt, parallel_tasks
+
+# Names that one task takes: it groups the pairs that they make with all open texts.
+NAMES_PER_TASK = 10_000
 
 # Similarities of the steps in hundredths; the last is any at all.
 STEPS = (75, 55, 40, 25, 0)
@@ -67,6 +70,7 @@ def nearest_entities(texts: DataFrame, names: DataFrame, limit: int) -> DataFram
     """
     limit = max(limit, 1)
     names = checkpoint(names.select("uri", "name", "label").distinct())
+    names = dealt(names, NAMES_PER_TASK)
     known = names.where("name <> ''").select(F.col("name").alias("text")).distinct()
     counts = known.select(F.explode(numbered_letters(F.col("text"))).alias("letter")).groupBy("letter").agg(
         F.count(F.lit(1)).alias("n"))
@@ -77,7 +81,9 @@ def nearest_entities(texts: DataFrame, names: DataFrame, limit: int) -> DataFram
     order = Window.partitionBy("text").orderBy(F.desc("raw"), "uri")
     done = []
     for step in STEPS:
-        found = met(still_open, known, step).join(names, "name").groupBy("text", "uri", "label").agg(
+        # Each pair meets all entities of its name, and the results wait in memory to be grouped.
+        pairs = met(still_open, known, step).repartition(parallel_tasks(names), "text", "name")
+        found = pairs.join(names, "name").groupBy("text", "uri", "label").agg(
             F.max("sim").alias("sim"))
         contains = (F.col("label") != "") & F.col("label").contains(F.col("text"))
         found = found.select("text", "uri", F.when(

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablegraph.config import GraphSpec
-from tablegraph.operators import quads, responses, skos
+from tablegraph.operators import link, quads, responses, skos
 from tablegraph.session import ROWS_PER_TASK, dealt
 
 ROWS = 3 * ROWS_PER_TASK
@@ -52,3 +52,12 @@ def test_no_test_of_a_body_stands_before_the_shuffle(spark, one_split, capsys):
     below = plan(out, capsys).split("REPARTITION_BY_NUM")[1]
     assert "from_json" not in below and "get_json_object" not in below
     assert out.where("rank = 0 and label = 'n'").count() == out.count() == ROWS
+
+
+def test_entities_are_dealt_before_they_meet_the_terms(spark, one_split, capsys):
+    terms = spark.createDataFrame([(1, "name 7")], "term_id int, term string")
+    entities = one_split.limit(2 * link.ENTITIES_PER_TASK).coalesce(1).select(
+        F.concat(F.lit("u"), "id").alias("uri"), F.col("Term").alias("label"), F.lit("").alias("description"))
+    out = link.search_vocabulary(terms, entities, 1)
+    assert "REPARTITION_BY_NUM" in plan(out, capsys)
+    assert [(r.uri, r.score) for r in out.collect()] == [("u7", 1.0)]
