@@ -9,6 +9,10 @@ from tablegraph.functions import text as T
 from tablegraph.functions import values as X
 from tablegraph.operators import dates, profile, reshape, similar, terms
 from tablegraph.plans.registry import query
+from tablegraph.session import dealt
+
+# Rows of a table whose distinct cells one task counts.
+TYPED_ROWS = 250_000
 
 PART = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
 CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
@@ -171,13 +175,18 @@ SELECT col AS "column", 'http://www.w3.org/2001/XMLSchema#' || dt AS datatype, c
        min(txt) AS lowest, max(txt) AS highest FROM texts GROUP BY ALL
 """)
 def typed_literals(t):
-    cells = reshape.unpivot_rows(t.spread("lineitem"), [])
+    cells = reshape.unpivot_rows(dealt(t.lineitem, TYPED_ROWS), [])
     paid = F.when(F.col("o_orderstatus") == "F", "ja").when(F.col("o_orderstatus") == "P", "Nein")
-    more = t.orders.select(
+    more = dealt(t.orders, TYPED_ROWS).select(
         F.concat(F.year("o_orderdate").cast("string"), F.lit(".0")).alias("order_year"),
         paid.otherwise("x").alias("paid"),
     )
-    cells = cells.unionByName(reshape.unpivot_rows(more, []))
+    return literals_by_type(cells.unionByName(reshape.unpivot_rows(more, [])))
+
+
+def literals_by_type(cells):
+    """Cells by column and datatype; the tests run once per value of a column, equal cells are counted first."""
+    cells = cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("cells"))
     value, iso = F.col("value"), F.col("iso")
     cells = cells.withColumn("value", T.py_strip(value))
     cells = cells.withColumn("iso", X.iso_datetime(value, True))
@@ -186,7 +195,7 @@ def typed_literals(t):
     )
     cells = cells.withColumn("text", X.literal_text(value, F.col("datatype"), iso, True))
     return cells.groupBy("column", "datatype").agg(
-        F.count(F.lit(1)).alias("cells"), F.min("text").alias("lowest"),
+        F.sum("cells").alias("cells"), F.min("text").alias("lowest"),
         F.max("text").alias("highest"),
     )
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablegraph.operators import positions, profile, reshape, similar, terms
+from tablegraph.plans.term_queries import literals_by_type
 from tests.test_functions import brute_lcs
 
 
@@ -270,3 +271,19 @@ def test_decisions_and_missing_terms(spark):
     assert rows(terms.page(mapping, ["term_id"], 9, 2), "term_id") == [(2,)]
     processed = spark.createDataFrame([(0, "P")], "term_id int, provider string")
     assert rows(terms.pending_terms(mapping, processed, "P", 1), "term_id") == [(1,)]
+
+
+def test_literals_are_told_once_per_value(spark, capsys):
+    rows = [("a", "7"), ("a", " 7"), ("a", "2,5"), ("b", "ja"), ("b", "1998-10-03"), ("year", "1998.0"), ("b", "")]
+    cells = spark.createDataFrame(rows * 50, "column string, value string")
+    out = literals_by_type(cells)
+    got = {(r.column, r.datatype.split("#")[1]): (r.cells, r.lowest, r.highest) for r in out.collect()}
+    assert got == {
+        ("a", "integer"): (100, "7", "7"), ("a", "decimal"): (50, "2.5", "2.5"), ("b", "boolean"): (50, "true", "true"),
+        ("b", "dateTime"): (50, "1998-10-03T00:00:00", "1998-10-03T00:00:00"), ("b", "string"): (50, "", ""),
+        ("year", "gYear"): (50, "1998", "1998"),
+    }
+    capsys.readouterr()
+    out.explain()
+    plan = capsys.readouterr().out  # from the result down to the table
+    assert plan.rindex("keys=[column") > max(plan.rindex("RLIKE"), plan.rindex("datatype"))
