@@ -24,8 +24,6 @@ rows get equal results. Text around what goes is left as it was. Columns of any
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,14 +32,21 @@ from pyspark.sql import DataFrame
 
 from tablegraph.llm import exchange as ex
 from tablegraph.llm.frame import (
-    GAP, SIDE, WORD, bucketed, copies, copy_side, unpacked, width, with_rest,
+    BLANKS, SIDE, bucketed, copies, copy_side, unpacked, width, with_rest,
 )
 from tablegraph.llm.phrases import ids_of, left_out
-from tablegraph.llm.words import Words, column, covered, inside, minimisers, windows, words
+from tablegraph.llm.words import (
+    Words, column, covered, inside, minimisers, runs, split, windows, words,
+)
 
 GRAM = 8
 SPAN = 25
 FIRSTS = 8
+# Suffixes whose words are compared at once.
+ROWS = 10_000
+# 1 for the bytes between words.
+BLANK = np.zeros(256, np.int8)
+BLANK[list(BLANKS.encode())] = 1
 
 ASK = ("shard int, bucket int, keys binary, ids binary, places binary, several binary, texts binary, "
        "stretches binary, owners binary")
@@ -52,7 +57,9 @@ def suffixes(w: Words, out: np.ndarray, least: int):
     reach = least - SPAN + 1
     fits = inside(w, GRAM + SPAN - 1)
     fits &= ~out[w.texts[: len(fits)]]
-    at = np.unique(minimisers(windows(w.hashes, GRAM), SPAN)[: len(fits)][fits])
+    chosen = np.zeros(len(w.flat), bool)
+    chosen[minimisers(windows(w.hashes, GRAM), SPAN)[: len(fits)][fits]] = True
+    at = np.flatnonzero(chosen)
     whole = inside(w, reach)
     at = at[at < len(whole)]
     at = at[whole[at]]
@@ -69,11 +76,15 @@ def shared(docs: pa.Table, side: pa.Table, least: int):
     return w, at[order], hashes[order]
 
 
-def context(w: Words, p: int, least: int) -> tuple[str, str]:
-    """Up to ``SPAN - 1`` words before the place and ``least`` words from it, in its text."""
-    t = w.texts[p]
-    a, b = max(w.offsets[t], p - SPAN + 1), min(w.offsets[t + 1], p + least)
-    return w.between(int(a), int(p)), w.between(int(p), int(b))
+def contexts(w: Words, at: np.ndarray, least: int) -> list[bytes]:
+    """Of each place, up to ``SPAN - 1`` words before it and ``least`` words from it, in its text."""
+    if not len(at):
+        return []
+    text, begin = w.joined()
+    a = np.maximum(w.offsets[w.texts[at]], at - SPAN + 1)
+    b = np.minimum(w.offsets[w.texts[at] + 1], at + least)
+    edges = zip(begin[a].tolist(), begin[at].tolist(), begin[b].tolist(), strict=True)
+    return [bytes(x) for i, j, k in edges for x in (text[i : max(i, j - 1)], text[j : k - 1])]
 
 
 def stretches(w: Words, at: np.ndarray, least: int):
@@ -91,12 +102,12 @@ def fresh(values: np.ndarray) -> np.ndarray:
     return mask
 
 
-def squeeze(texts: list[str]) -> bytes:
-    return b"" if not texts else zstandard.ZstdCompressor(level=3).compress("\n".join(texts).encode())
+def squeeze(texts: list[bytes]) -> bytes:
+    return b"" if not texts else zstandard.ZstdCompressor(level=3).compress(b"\n".join(texts))
 
 
-def spread(data: bytes) -> list[str]:
-    return zstandard.ZstdDecompressor().decompress(data).decode().split("\n") if data else []
+def spread(data: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(data).split(b"\n") if data else []
 
 
 def first_suffixes(frame: DataFrame, side: DataFrame, least: int) -> DataFrame:
@@ -113,6 +124,7 @@ def first_suffixes(frame: DataFrame, side: DataFrame, least: int) -> DataFrame:
             own, keys = at[begin], hashes[begin]
             ids = ids_of(docs)[w.texts[own]]
             places = own - w.offsets[w.texts[own]]
+            near = contexts(w, own, least)
             starts, found = stretches(w, at, least)
             owners = ids_of(docs)[w.texts[starts]]
             order = np.lexsort((owners, found))
@@ -124,9 +136,8 @@ def first_suffixes(frame: DataFrame, side: DataFrame, least: int) -> DataFrame:
             for shard in sorted(mine.keys() | theirs.keys()):
                 a, b = mine.get(shard, (0, 0))
                 c, d = theirs.get(shard, (0, 0))
-                texts = [x for p in own[a:b] for x in context(w, p, least)]
                 rows.append((shard, bucket, ex.pack_sorted(keys[a:b]), ex.pack(ids[a:b]),
-                             ex.pack(places[a:b]), ex.pack(many[a:b]), squeeze(texts),
+                             ex.pack(places[a:b]), ex.pack(many[a:b]), squeeze(near[2 * a : 2 * b]),
                              ex.pack_sorted(found[c:d]), ex.pack(owners[c:d])))
         names = ["shard", "bucket", "keys", "ids", "places", "several", "texts", "stretches", "owners"]
         types = [pa.int32(), pa.int32(), *[pa.binary()] * 7]
@@ -141,9 +152,9 @@ def first_suffixes(frame: DataFrame, side: DataFrame, least: int) -> DataFrame:
         texts = [x for part in read["texts"] for x in spread(part)]
         left, right = texts[::2], texts[1::2]
         n = len(ids)
-        known: dict[str, int] = {}
-        after = numbered(right, least, known)
-        before = numbered([" ".join(reversed(x.split(" "))) for x in left], SPAN - 1, known)
+        offsets, numbers = numbered(texts)
+        before = leading(numbers, offsets[:-1][::2], offsets[1:][::2], SPAN - 1, backwards=True)
+        after = leading(numbers, offsets[:-1][1::2], offsets[1:][1::2], least)
         # The sparse suffix array of the shard: by words, then by id and place.
         order = np.lexsort((places, ids, *after.T[::-1]))
         alike = np.zeros(n, bool)
@@ -197,13 +208,21 @@ def unpack_parts(data: bytes, n: int) -> list[bytes]:
     return [data[a:b] for a, b in zip([4 * n, *ends[:-1]], ends, strict=True)]
 
 
-def numbered(texts: list[str], size: int, known: dict[str, int]) -> np.ndarray:
-    """Each text's words as numbers from 1, zeros behind the last."""
-    out = np.zeros((len(texts), size), np.int32)
-    for i, text in enumerate(texts):
-        if text:
-            ids = [known.setdefault(x, len(known) + 1) for x in text.split(" ")]
-            out[i, : len(ids)] = ids
+def numbered(texts: list[bytes], known: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of the texts' words, and the words as numbers from 1: among the ``known`` ones, 0 for any other."""
+    offsets, flat = split(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+    codes = flat.dictionary_encode().indices if known is None else pc.fill_null(pc.index_in(flat, value_set=known), -1)
+    return offsets, codes.to_numpy(zero_copy_only=False) + 1
+
+
+def leading(numbers: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int, backwards: bool = False) -> np.ndarray:
+    """The first ``size`` words of each stretch, or the last from its end on; zeros behind them."""
+    out, place = np.zeros((len(starts), size), np.int32), np.arange(size)
+    for i in range(0, len(starts), ROWS):
+        a, b = starts[i : i + ROWS, None], ends[i : i + ROWS, None]
+        held = place < b - a
+        at = b - 1 - place if backwards else a + place
+        out[i : i + ROWS][held] = numbers[at[held]]
     return out
 
 
@@ -212,13 +231,18 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.cumprod((a == b) & (a > 0), axis=1, dtype=np.int16).sum(axis=1, dtype=np.int64)
 
 
-def alike_words(a: list[str], b: list[str]) -> int:
-    n = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        n += 1
-    return n
+def extended(w: Words, at: np.ndarray, texts: list[bytes], of: np.ndarray, least: int):
+    """Words that each place has in common with the told text ``of`` it, to the left and right."""
+    offsets, told = numbered(texts, w.known)
+    own, left, right = w.codes + 1, np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    for i in range(0, len(at), ROWS):
+        p, pair = at[i : i + ROWS], 2 * of[i : i + ROWS]
+        t = w.texts[p]
+        left[i : i + ROWS] = common(leading(own, w.offsets[t], p, SPAN - 1, backwards=True),
+                                    leading(told, offsets[pair], offsets[pair + 1], SPAN - 1, backwards=True))
+        right[i : i + ROWS] = common(leading(own, p, w.offsets[t + 1], least),
+                                     leading(told, offsets[pair + 1], offsets[pair + 2], least))
+    return left, right
 
 
 def spans_of(docs: pa.Table, side: pa.Table, least: int) -> tuple[Words, np.ndarray]:
@@ -231,30 +255,25 @@ def spans_of(docs: pa.Table, side: pa.Table, least: int) -> tuple[Words, np.ndar
         firsts = np.concatenate([ex.unpack(x[0], np.int64) for x in told])
         back = np.concatenate([ex.unpack(x[1], np.uint16) for x in told]).astype(np.int64)
         ahead = np.concatenate([ex.unpack(x[2], np.uint16) for x in told]).astype(np.int64)
-        texts = iter([y for x in told for y in spread(x[3])])
-        ids = ids_of(docs)[w.texts[at]]
-        begin = np.flatnonzero(fresh(hashes))
-        for r, (a, b) in enumerate(zip(begin, [*begin[1:], len(at)], strict=True)):
-            if ids[a] > firsts[r] and back[r] + ahead[r] >= least:
-                gone_from.append(at[a] - back[r])
-                gone_to.append(at[a] + ahead[r])
-            if b - a > 1:
-                left, right = next(texts).split(" ")[::-1], next(texts).split(" ")
-                for i in range(a + 1, b):
-                    if ids[i] <= firsts[r]:
-                        continue
-                    before, after = context(w, int(at[i]), least)
-                    l = alike_words(before.split(" ")[::-1], left) if before and left != [""] else 0
-                    m = alike_words(after.split(" "), right)
-                    if l + m >= least:
-                        gone_from.append(at[i] - l)
-                        gone_to.append(at[i] + m)
+        ids, first = ids_of(docs)[w.texts[at]], fresh(hashes)
+        run = np.cumsum(first) - 1
+        many = np.bincount(run, minlength=len(firsts)) > 1
+        goes = (ids[first] > firsts) & (back + ahead >= least)
+        gone_from.append(at[first][goes] - back[goes])
+        gone_to.append(at[first][goes] + ahead[goes])
+        later = np.flatnonzero(~first & (ids > firsts[run]))
+        left, right = extended(
+            w, at[later], [y for x in told for y in spread(x[3])], np.cumsum(many)[run[later]] - 1, least)
+        goes = left + right >= least
+        gone_from.append(at[later][goes] - left[goes])
+        gone_to.append(at[later][goes] + right[goes])
         starts, found = stretches(w, at, least)
         owner = np.concatenate([ex.unpack(x[4], np.int64) for x in told])
         earlier = owner[np.unique(found, return_inverse=True)[1]] < ids_of(docs)[w.texts[starts]]
-        gone_from += starts[earlier].tolist()
-        gone_to += (starts[earlier] + least).tolist()
-    gone = covered(len(w.flat), np.array(gone_from, np.int64), np.array(gone_to, np.int64))
+        gone_from.append(starts[earlier])
+        gone_to.append(starts[earlier] + least)
+    none = np.zeros(0, np.int64)
+    gone = covered(len(w.flat), np.concatenate([none, *gone_from]), np.concatenate([none, *gone_to]))
     skipped = ex.copy_keys(side)
     for t, key in enumerate(column(docs, "key").to_pylist()):
         if key in skipped and w.offsets[t + 1] - w.offsets[t] >= least:
@@ -264,14 +283,15 @@ def spans_of(docs: pa.Table, side: pa.Table, least: int) -> tuple[Words, np.ndar
 
 def cut_text(text: str, gone: np.ndarray) -> str:
     """The text without the marked words; the rest keeps its white space."""
+    data = text.encode()
+    edge = np.flatnonzero(np.diff(BLANK[np.frombuffer(data, np.uint8)], prepend=1, append=1))
+    starts, ends = edge[::2], edge[1::2]
     out, at = [], 0
-    for i, m in enumerate(re.finditer(WORD, text)):
-        if gone[i]:
-            if i == 0 or not gone[i - 1]:
-                out.append(text[at : m.start()])
-            at = m.end()
-    out.append(text[at:])
-    return re.sub(rf"{GAP}\Z", "", "".join(x for x in out))
+    for a, b in zip(*runs(gone), strict=True):
+        out.append(data[at : starts[a]])
+        at = ends[b - 1]
+    out.append(data[at:])
+    return b"".join(out).rstrip(BLANKS.encode()).decode()
 
 
 def drop_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -21,6 +21,8 @@ class Words(NamedTuple):
     flat: pa.Array
     hashes: np.ndarray
     texts: np.ndarray  # the text of each word
+    codes: np.ndarray  # the place of each word among the distinct ones
+    known: pa.Array  # the distinct words
 
     def of(self, t: int) -> list[str]:
         return self.flat.slice(self.offsets[t], self.offsets[t + 1] - self.offsets[t]).to_pylist()
@@ -28,6 +30,11 @@ class Words(NamedTuple):
     def between(self, start: int, end: int) -> str:
         return " ".join(self.flat.slice(start, end - start).to_pylist())
 
+    def joined(self) -> tuple[memoryview, np.ndarray]:
+        """All words as UTF-8 with a blank between, and where each begins: words a to b end before ``begin[b] - 1``."""
+        ended = pc.binary_join_element_wise(self.flat, pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
+        return memoryview(ended.buffers()[2]), np.frombuffer(ended.buffers()[1], np.int64)[ended.offset :]
+
 
 def column(table: pa.Table, name: str) -> pa.Array:
     """One column in one piece."""
@@ -57,10 +64,12 @@ def words(texts: pa.Array, lower: bool = False) -> Words:
     offsets, flat = split(texts, lower)
     coded = flat.dictionary_encode()
     distinct = np.fromiter(
-        map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary)
+        map(xxhash.xxh3_64_intdigest, coded.dictionary.to_numpy(zero_copy_only=False)), np.uint64, len(coded.dictionary)
     )
-    hashes = distinct[coded.indices.to_numpy()] if len(flat) else np.zeros(0, np.uint64)
-    return Words(offsets, flat, hashes, np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)))
+    codes = coded.indices.to_numpy()
+    hashes = distinct[codes] if len(flat) else np.zeros(0, np.uint64)
+    texts = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    return Words(offsets, flat, hashes, texts, codes, coded.dictionary)
 
 
 def cut(texts: pa.Array, kinds: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -108,11 +117,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
-    """A hash for each run of ``size`` consecutive words of the stream, by its start."""
+    """A hash for each run of ``size`` consecutive words of the stream, by its start.
+
+    The sum of the words' hashes times falling powers of ``ODD``; runs are doubled, or grow by one word.
+    """
     n = max(0, len(hashes) - size + 1)
-    out = np.zeros(n, np.uint64)
-    for j in range(size):
-        out = out * ODD + hashes[j : j + n]
+    if not n:
+        return np.zeros(0, np.uint64)
+    out, run, power = hashes, 1, int(ODD)
+    for bit in f"{size:b}"[1:]:
+        out = out[:-run] * np.uint64(power) + out[run:]
+        run, power = 2 * run, power * power % 2**64
+        if bit == "1":
+            out = out[:-1] * ODD + hashes[run:]
+            run, power = run + 1, power * int(ODD) % 2**64
     return mixed(out + np.uint64(size))
 
 
